@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, kd_shards, language_id, line_dedup, media_jpeg, mixing, quality_rules, simhash_neardup, token_files
+from plumbline.llm import bpe, kd_shards, language_id, line_dedup, media_jpeg, mixing, quality_rules, simhash_neardup, substring_dedup, token_files
 from plumbline.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.find_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.by_position(mixing.plan(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "position")
@@ -61,6 +65,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_simhash_neardup, op3_media_jpeg, op4_bpe, op5_language_id, op6_kd_shards, op8_mixing, op9_line_dedup, op10_token_files)
+    f.__name__: f for f in (op1_quality_rules, op2_simhash_neardup, op3_media_jpeg, op4_bpe, op5_language_id, op6_kd_shards, op7_substring_dedup, op8_mixing, op9_line_dedup, op10_token_files)
 }
 ORACLES: dict[str, str] = {}
