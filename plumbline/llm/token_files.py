@@ -15,10 +15,13 @@ each with its own row; an empty table gives no file and an empty result; further
 
 from __future__ import annotations
 
+import json
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
+from plumbline.llm.bpe import visible_bytes
 from plumbline.llm.common import Scratch
 
 END_ID = 2
-TABLE_SIZE = 400_000
+TABLE_SIZE = 800_000
 #: A file is closed once it holds so many ids.
 FILE_IDS = 4_000_000
 SAMPLED = 256
@@ -116,9 +120,11 @@ class TokenFile:
 
 _states: dict[str, tuple] = {}
 _MARKS = (b".", b",")
+_VISIBLE = dict(visible_bytes())
 
 
 def _state(path: str):
+    """Tokenizer, table of words, bytes of each id, width of an id, and whether a word of Latin letters can go straight to the model."""
     if path not in _states:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -126,32 +132,60 @@ def _state(path: str):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        _states[path] = tokenizer, {}, 2 if max(tokenizer.get_vocab_size(with_added_tokens=True), END_ID + 1) <= 1 << 16 else 4
+        size = max(tokenizer.get_vocab_size(with_added_tokens=True), END_ID + 1)
+        wide = 2 if size <= 1 << 16 else 4
+        with open(path, encoding="utf-8") as f:
+            j = json.load(f)
+        kinds = [[x["type"] for x in (j.get(a) or {}).get(b, [])] for a, b in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        _states[path] = tokenizer, {}, [i.to_bytes(wide, "little") for i in range(size)], wide, kinds == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]
     return _states[path]
 
 
+def _letters(word: bytes) -> str | None:
+    """What the stages before the model make of a word of Latin letters; None for any other word."""
+    if word.isalpha():
+        return word.decode().lower()
+    text = word.decode("utf-8", "surrogatepass").lower()
+    if text.isalpha() and max(text) < "\u0250" and unicodedata.is_normalized("NFC", text):
+        return text.encode().decode("latin-1").translate(_VISIBLE)
+    return None
+
+
 def _encode(path: str, texts: list[str | None]) -> tuple[list[bytes], int]:
-    """Each text's ids as little-endian bytes, END_ID last, and the bytes of an id."""
-    tokenizer, table, wide = _state(path)
+    """Each text's ids as little-endian bytes, END_ID last, and the bytes of an id; a few hundred texts at a time."""
+    tokenizer, table, code, wide, direct = _state(path)
+    if len(table) > TABLE_SIZE:  # the words met first are the frequent ones
+        rest = list(islice(table, TABLE_SIZE // 2, None))
+        for w in rest:
+            del table[w]
     raw = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
     cut = [(x if b"<|" in x else x.lower()).split() for x in raw]  # the vocabulary is of lower case; a special token's spelling counts
-    if len(table) > TABLE_SIZE:
-        table.clear()
-    new = {w for words in cut for w in words if w not in table}
-    #: A letter and one closing mark are different pieces to the tokenizer, so such a word needs no call of its own.
-    closed = {w for w in new if w[-1:] in _MARKS and w[-2:-1].isalpha()}
-    new = {w for w in (new - closed) | {w[:-1] for w in closed} | set(_MARKS) if w not in table}
-    if new:
-        new = sorted(new)
+    found = [list(map(table.get, words)) for words in cut]
+    gaps = [(parts, k, words[k]) for words, parts in zip(cut, found, strict=True) if None in parts for k, x in enumerate(parts) if x is None]
+    if gaps:
+        new = {w for _, _, w in gaps}
+        # a letter and one closing mark are different pieces to the tokenizer, so such a word needs no call of its own
+        closed = {w for w in new if w[-1:] in _MARKS and w[-2:-1].isalpha()}
+        asked = sorted({w for w in (new - closed).union((w[:-1] for w in closed), _MARKS) if w not in table})
+        if direct:
+            model, rest = tokenizer.model, []
+            for w in asked:
+                if (letters := _letters(w)) is None:
+                    rest.append(w)
+                else:
+                    table[w] = b"".join([code[x.id] for x in model.tokenize(letters)])
+            asked = rest
         fast = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+        for k in range(0, len(asked), 20_000):
+            part = asked[k : k + 20_000]
             for w, e in zip(part, fast([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-                table[w] = np.array(e.ids, f"<u{wide}").tobytes()
-    for w in closed:
-        table[w] = table[w[:-1]] + table[w[-1:]]
+                table[w] = b"".join([code[i] for i in e.ids])
+        for w in closed:
+            table[w] = table[w[:-1]] + table[w[-1:]]
+        for parts, k, w in gaps:
+            parts[k] = table[w]
     end = END_ID.to_bytes(wide, "little")
-    return [b"".join([table[w] for w in words]) + end for words in cut], wide
+    return [b"".join(parts) + end for parts in found], wide
 
 
 def write_files(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
