@@ -56,8 +56,11 @@ def cluster_penalty(scored: DataFrame) -> DataFrame:
     return s.withColumn("score", F.when(F.col("_high") & (size >= 5), F.round(F.greatest(F.col("score") - 0.15, F.lit(0.0)), 3)).otherwise(F.col("score"))).drop("_run", "_high")
 
 
-def fake_heading_scores(paragraphs: DataFrame, weights: dict[str, float], larger_by: float = 2.0) -> DataFrame:
-    """Scores paragraphs (doc_id, pos, text, bold, size, font) against their document's median size and dominant font."""
+def fake_heading_scores(paragraphs: DataFrame, weights: dict[str, float], larger_by: float = 2.0, citations: bool = True, bold_only: bool = False) -> DataFrame:
+    """Scores paragraphs (doc_id, pos, text, bold, size, font) against their document's median size and dominant font.
+
+    citations: text like a citation loses 0.30; bold_only: only bold paragraphs are candidates.
+    """
     w = along("pos")
     p = paragraphs.withColumn("_next_bold", F.lead("bold").over(w))
     everything = Window.partitionBy("doc_id")
@@ -69,8 +72,9 @@ def fake_heading_scores(paragraphs: DataFrame, weights: dict[str, float], larger
     bold, big, other = F.col("bold"), F.col("size") >= F.col("_median") + larger_by, base != F.col("_dominant")
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
     score = weights["bold"] * one(bold) + weights["size"] * one(big) + weights["short"] * one(text.n_words(F.col("text")) < 10) + weights["followed"] * one(F.coalesce(~F.col("_next_bold"), F.lit(False))) + weights["always"] + weights["font"] * one(other)
-    score = F.when(text.is_citation(F.col("text")), F.greatest(score - 0.30, F.lit(0.0))).otherwise(score)
-    return p.select("doc_id", "pos", F.when(bold | big | other, F.round(score, 3)).alias("score"))
+    if citations:
+        score = F.when(text.is_citation(F.col("text")), F.greatest(score - 0.30, F.lit(0.0))).otherwise(score)
+    return p.select("doc_id", "pos", F.when(bold if bold_only else bold | big | other, F.round(score, 3)).alias("score"))
 
 
 def duplicates(paragraphs: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def d07(spark, sf):
     return page_plan(spark, sf).join(links, ["doc_id", "element_id"]).select("doc_id", "seq", "element_id", "value", "url")
 
 
-@query("d08_plan_without_tagged", f"WITH {PLAN} SELECT doc_id, seq, element_id FROM plan WHERE NOT (action_type = 'set_link_text' AND (substr(element_id, 6)::INT + doc_id) % 3 = 0)")
+@query("d08_plan_without_tagged", f"WITH {PLAN} SELECT doc_id, seq, element_id FROM plan WHERE NOT (action_type = 'set_link_text' AND (coalesce(nullif(regexp_extract(element_id, '\\d+$'), ''), '0')::INT + doc_id) % 3 = 0)")
 def d08(spark, sf):
     tagged = s.faulty_anchors(spark, sf).where("(page_id + pos) % 3 = 0").select(F.col("page_id").alias("doc_id"), F.concat(F.lit("link_"), F.col("pos").cast("string")).alias("element_id"))
     return page_plan(spark, sf).join(tagged, ["doc_id", "element_id"], "left_anti").select("doc_id", "seq", "element_id")
@@ -140,10 +140,10 @@ def d10(spark, sf):
     return b.join(link, ["doc_id", "page"]).where("x0 < a1 and a0 < x1 and y0 < b1 and b0 < y1").select("doc_id", "page", "pos", "link")
 
 
-@query("d11_corrections", f"WITH {q.LINES} SELECT doc_id, pos, CASE WHEN (doc_id + pos) % 5 = 0 THEN upper(text) ELSE text END AS text FROM lines")
+@query("d11_corrections", f"WITH {q.LINES} SELECT doc_id, pos, CASE WHEN (doc_id + pos) % 5 = 0 THEN reverse(text) ELSE text END AS text FROM lines")
 def d11(spark, sf):
     p = s.lines(spark, sf)
-    better = p.where("(doc_id + pos) % 5 = 0").select("doc_id", "pos", F.upper("text").alias("better"))
+    better = p.where("(doc_id + pos) % 5 = 0").select("doc_id", "pos", F.reverse("text").alias("better"))
     return p.join(better, ["doc_id", "pos"], "left").select("doc_id", "pos", F.coalesce("better", "text").alias("text"))
 
 

@@ -38,7 +38,7 @@ def b03(spark, sf):
     return s.colours(spark, sf).select("k", colour.is_large(F.when(F.col("k") % 20 != 7, F.col("size")), F.col("bold")).alias("large"))
 
 
-@query("b04_contrast", f"WITH {q.RATED} SELECT k, round(ratio, 2) AS ratio, required, ratio >= required AS passes FROM rated")
+@query("b04_contrast", f"WITH {q.RATED} SELECT k, round(ratio, 2) AS ratio, required::DOUBLE AS required, ratio >= required AS passes FROM rated")
 def b04(spark, sf):
     r, need = colour.ratio(F.col("fg"), F.col("bg")), colour.required(F.col("size"), F.col("bold"))
     return s.colours(spark, sf).select("k", F.round(r, 2).alias("ratio"), need.alias("required"), (r >= need).alias("passes"))
@@ -174,7 +174,7 @@ def b37(spark, sf):
     return s.table(spark, sf, "events").select("event_id", F.round(text.usage_cost(model, k % 5000, k * 3 % 900), 9).alias("cost"))
 
 
-@query("b38_relative_size", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 16.0 WHEN 1 THEN 12.0 WHEN 2 THEN 10.0 ELSE 12.0 END AS pt FROM events")
+@query("b38_relative_size", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 16.0 WHEN 1 THEN 12.0 WHEN 2 THEN 10.0 ELSE 12.0 END::DOUBLE AS pt FROM events")
 def b38(spark, sf):
     k = F.col("event_id") % 4
     label = F.when(k == 0, "large").when(k == 1, "normal").when(k == 2, "small").otherwise("huge")
@@ -329,7 +329,7 @@ def a22(spark, sf):
     return s.table(spark, sf, "documents").select("doc_id", text.pages(F.col("text")).alias("pages"))
 
 
-@query("a24_render_paragraph", f"WITH {q.FAULTY_LINES} SELECT doc_id, pos, CASE WHEN heading_level IS NOT NULL THEN '<h' || least(heading_level, 6) || '>' || t || '</h' || least(heading_level, 6) || '>' WHEN {LIST_TYPE} IS NOT NULL THEN '<li>' || t || '</li>' ELSE '<p>' || t || '</p>' END AS html FROM (SELECT *, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM faulty) WHERE trim(text) <> ''")
+@query("a24_render_paragraph", f"WITH {q.FAULTY_LINES} SELECT doc_id, pos, CASE WHEN heading_level IS NOT NULL THEN '<h' || least(heading_level, 6) || '>' || t || '</h' || least(heading_level, 6) || '>' WHEN {LIST_TYPE} IS NOT NULL THEN '<li>' || t || '</li>' ELSE '<p>' || t || '</p>' END AS html FROM (SELECT *, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS t FROM faulty) WHERE trim(text) <> ''")
 def a24(spark, sf):
     level, t = F.least(F.col("heading_level"), F.lit(6)).cast("string"), text.escape_html(F.col("text"))
     heading = F.concat(F.lit("<h"), level, F.lit(">"), t, F.lit("</h"), level, F.lit(">"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import colour, text
@@ -70,16 +71,13 @@ def f03(spark, sf):
 
 @query("f04_heading_score_office", score_sql(OFFICE_WEIGHTS).replace("SELECT doc_id, pos, CASE WHEN bold OR size >= median + 2 OR base <> dominant THEN", "SELECT doc_id, pos, CASE WHEN bold THEN").replace("CASE WHEN cited THEN greatest(raw - 0.30, 0) ELSE raw END", "raw"))
 def f04(spark, sf):
-    plain = styled(spark, sf).withColumn("text", F.regexp_replace(F.regexp_replace("text", ",", ";"), r"\(\d{4}\)|et al\.", "x"))
-    out = structure.fake_heading_scores(plain.withColumn("font", F.col("font")), OFFICE_WEIGHTS)
-    bold = styled(spark, sf).select("doc_id", "pos", "bold")
-    return out.join(bold, ["doc_id", "pos"]).select("doc_id", "pos", F.when(F.col("bold"), F.col("score")).alias("score"))
+    return structure.fake_heading_scores(styled(spark, sf), OFFICE_WEIGHTS, citations=False, bold_only=True)
 
 
 @query("b18_suggest_level", f"""WITH {q.FAULTY_LINES} SELECT doc_id, pos, CASE WHEN last IS NULL THEN 1 WHEN size >= 20 THEN greatest(1, last) ELSE least(last + 1, 6) END AS level FROM (SELECT doc_id, pos, 10 + pos % 14 AS size, heading_level,
   last_value(heading_level IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM faulty) WHERE heading_level IS NULL""")
 def b18(spark, sf):
-    w = structure.along("pos").rowsBetween(-(1 << 60), -1)
+    w = structure.along("pos").rowsBetween(Window.unboundedPreceding, -1)
     p = s.faulty_lines(spark, sf).withColumn("last", F.last("heading_level", ignorenulls=True).over(w)).where("heading_level is null")
     last, size = F.col("last"), 10 + F.col("pos") % 14
     return p.select("doc_id", "pos", F.when(last.isNull(), 1).when(size >= 20, F.greatest(F.lit(1), last)).otherwise(F.least(last + 1, F.lit(6))).alias("level"))
@@ -214,7 +212,7 @@ def f07(spark, sf):
 
 DISPLACED = f"""{q.BOXES}, r AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) AS s, row_number() OVER (PARTITION BY doc_id, page ORDER BY round_even(y0 / 15, 0), x0, pos) AS v FROM boxes WHERE n_chars > 10 AND page < 5),
   d AS (SELECT doc_id, round(avg(d), 6) AS displacement FROM (SELECT doc_id, page, sum(abs(s - v)) / greatest(count(*) * count(*) / 2, 1) AS d FROM r GROUP BY ALL HAVING count(*) >= 3) GROUP BY 1)"""
-JUMPS = """j AS (SELECT doc_id, page, sum(coalesce(up, false)::INT) AS jumps, count(*) - 1 AS steps FROM (SELECT doc_id, page, y0 < lag(y0) OVER (PARTITION BY doc_id, page ORDER BY pos) - 20 AS up FROM boxes WHERE NOT ((y0 < 80 OR y0 > 680) AND n_chars < 80)) GROUP BY ALL HAVING count(*) >= 3)"""
+JUMPS = """j AS (SELECT doc_id, page, sum(coalesce(up, false)::INT)::BIGINT AS jumps, count(*) - 1 AS steps FROM (SELECT doc_id, page, y0 < lag(y0) OVER (PARTITION BY doc_id, page ORDER BY pos) - 20 AS up FROM boxes WHERE NOT ((y0 < 80 OR y0 > 680) AND n_chars < 80)) GROUP BY ALL HAVING count(*) >= 3)"""
 
 
 @query("f08_displacement", f"WITH {DISPLACED} SELECT * FROM d")
@@ -247,7 +245,7 @@ def e20(spark, sf):
     return f.groupBy("doc_id").agg(F.max_by("font", F.struct("n", -F.col("first"))).alias("font"))
 
 
-STATS = f"""{q.RUNS}, f AS (SELECT doc_id, regexp_replace(font, '^[^+]{{6}}\\+', '') AS font, sum(n_chars) AS chars, min(pos) AS first, list(round(size, 1) ORDER BY size) AS s FROM runs GROUP BY ALL),
+STATS = f"""{q.RUNS}, f AS (SELECT doc_id, regexp_replace(font, '^[^+]{{6}}\\+', '') AS font, sum(n_chars)::BIGINT AS chars, min(pos) AS first, list(round(size, 1) ORDER BY size) AS s FROM runs GROUP BY ALL),
   top AS (SELECT doc_id, font, chars, s, len(s) AS n FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, first) = 1),
   stats AS (SELECT doc_id, font, chars, n, s[1] AS least, s[n // 4 + 1] AS p25, s[n // 2 + 1] AS median, s[3 * n // 4 + 1] AS p75, s[n] AS most, round(len(list_filter(s, lambda v: v < 8)) / n, 6) AS below_8, round(len(list_filter(s, lambda v: v < 8.5)) / n, 6) AS below_85, round(len(list_filter(s, lambda v: v < 9)) / n, 6) AS below_9 FROM top)"""
 
@@ -281,7 +279,7 @@ def i03(spark, sf):
 
 
 @query("f13_paragraph_split", f"""WITH {q.RUNS}, c AS (SELECT doc_id, pos, (bold <> lag(bold) OVER w OR abs(size - lag(size) OVER w) > 1.5 OR {q.BASE_FONT.format('font')} <> lag({q.BASE_FONT.format('font')}) OVER w) AS cut FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
-  SELECT doc_id, pos, sum(coalesce(cut, false)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM c""")
+  SELECT doc_id, pos, (sum(coalesce(cut, false)::INT) OVER (PARTITION BY doc_id ORDER BY pos))::BIGINT AS part FROM c""")
 def f13(spark, sf):
     w = structure.along("pos")
     r = s.runs(spark, sf).withColumn("base", text.base_font(F.col("font")))
@@ -375,7 +373,7 @@ def c05(spark, sf):
     return i.select("doc_id", "pos", F.floor((F.row_number().over(structure.along("pos")) - 1) / 4).alias("batch"))
 
 
-@query("e08_contrast_findings", f"WITH {q.RATED} SELECT doc_id, k, fg, bg, round(ratio, 2) AS ratio, required FROM rated WHERE ratio < required")
+@query("e08_contrast_findings", f"WITH {q.RATED} SELECT doc_id, k, fg, bg, round(ratio, 2) AS ratio, required::DOUBLE AS required FROM rated WHERE ratio < required")
 def e08(spark, sf):
     r, need = colour.ratio(F.col("fg"), F.col("bg")), colour.required(F.col("size"), F.col("bold"))
     return s.colours(spark, sf).where(r < need).select("doc_id", "k", "fg", "bg", F.round(r, 2).alias("ratio"), need.alias("required"))
