@@ -329,7 +329,7 @@ def a22(spark, sf):
     return s.table(spark, sf, "documents").select("doc_id", text.pages(F.col("text")).alias("pages"))
 
 
-@query("a24_render_paragraph", f"WITH {q.FAULTY_LINES} SELECT doc_id, pos, CASE WHEN heading_level IS NOT NULL THEN '<h' || least(heading_level, 6) || '>' || t || '</h' || least(heading_level, 6) || '>' WHEN {LIST_TYPE} IS NOT NULL THEN '<li>' || t || '</li>' ELSE '<p>' || t || '</p>' END AS html FROM (SELECT *, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS t FROM faulty) WHERE trim(text) <> ''")
+@query("a24_render_paragraph", f"WITH {q.FAULTY_LINES} SELECT doc_id, pos, CASE WHEN heading_level IS NOT NULL THEN '<h' || least(heading_level, 6) || '>' || t || '</h' || least(heading_level, 6) || '>' WHEN {LIST_TYPE} IS NOT NULL THEN '<li>' || t || '</li>' ELSE '<p>' || t || '</p>' END AS html FROM (SELECT *, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') AS t FROM faulty) WHERE trim(text) <> ''")
 def a24(spark, sf):
     level, t = F.least(F.col("heading_level"), F.lit(6)).cast("string"), text.escape_html(F.col("text"))
     heading = F.concat(F.lit("<h"), level, F.lit(">"), t, F.lit("</h"), level, F.lit(">"))
