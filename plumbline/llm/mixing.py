@@ -94,7 +94,7 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def by_position(planned: DataFrame) -> DataFrame:
     """Planned documents dealt out and sorted by their first position; those not taken come first."""
     first = F.element_at(F.col("positions"), F.when(F.size("positions") > 0, 1))
-    return planned.withColumn("position", first).repartitionByRange(F.col("position")).sortWithinPartitions("position")
+    return planned.withColumn("position", first).repartitionByRange(F.col("position"), F.xxhash64(*planned.columns[:3])).sortWithinPartitions("position")
 
 
 def training_order(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
