@@ -5,7 +5,8 @@ integral over the run is the weight. Targets share all words by weight; none exc
 again by weight (water-filling, solved in one pass over the sources sorted by where they fill up).
 
 A source's documents lie on a tape in hash order. Its demand reads the tape from the start, again and again; a document is taken as
-often as its middle lies within the demand, so the words taken differ from the target by at most half a document. The n-th copy's
+often as its middle lies within the demand, so the words taken differ from the target by at most half a document; then one document of
+the source is taken once more or less if that brings it nearer. The n-th copy's
 middle, as a share of the demand, is put through the inverse of the cumulative schedule, which gives its time: its training position.
 ``training_order`` deals the copies out by ranges of position and sorts them.
 
@@ -80,8 +81,10 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     middle = F.col("_ahead") + F.coalesce(F.sum("size").over(along), F.lit(0)) + F.col("size") / 2
     laid = laid.withColumn("_middle", middle)
     copies = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.lit(most), F.ceil((F.col("target") - F.col("_middle")) / F.col("source_size"))))).otherwise(0).cast("int")
-    laid = laid.withColumn("copies", copies)
-    share = lambda n: (F.col("_middle") + n * F.col("source_size")) / F.col("target")
+    laid = scratch.write(laid.withColumn("copies", copies))
+    laid = laid.join(_last_changes(laid, most), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_middle") == F.col("_m")), "left")
+    laid = laid.withColumn("copies", (F.col("copies") + F.coalesce("_change", F.lit(0))).cast("int"))
+    share = lambda n: F.least((F.col("_middle") + n * F.col("source_size")) / F.col("target"), F.lit(1.0))
 
     def when(x: Column) -> Column:  # the inverse of (1 - tilt) t + tilt t^2
         a = F.col("tilt")
@@ -91,6 +94,17 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return laid.select(key, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), positions.alias("positions"), *carry)
 
 
+def _last_changes(laid: DataFrame, most: int) -> DataFrame:
+    """At most one row for each source: the place (_m) of the document of which a copy more or less brings the source nearest to its target."""
+    missing = laid.groupBy(F.col("source").alias("_s")).agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("_missing"))
+    rows = laid.where("size > 0").join(missing, F.col("source").eqNullSafe(F.col("_s")))
+    r, size = F.col("_missing"), F.col("size")
+    after = F.when((r > 0) & (F.col("copies") < most), F.abs(r - size)).when((r < 0) & (F.col("copies") > 0), F.abs(r + size))
+    better = rows.select("_s", "_order", F.col("_middle").alias("_m"), F.signum(r).cast("int").alias("_change"), F.abs(r).alias("_now"), after.alias("_after")).where("_after < _now")
+    best = better.groupBy("_s").agg(F.min(F.struct("_after", "_order", "_m", "_change")).alias("x"))
+    return best.select("_s", F.col("x._m").alias("_m"), F.col("x._change").alias("_change"))
+
+
 def by_position(planned: DataFrame) -> DataFrame:
     """Planned documents dealt out and sorted by their first position; those not taken come first."""
     first = F.element_at(F.col("positions"), F.when(F.size("positions") > 0, 1))
