@@ -105,9 +105,9 @@ def rules(m=lambda name: F.col(f"_plumb_{name}")) -> dict[str, Column]:
         "length": vote(length, length >= 50, length < 30),
         "word_length": vote(mean, mean.between(3.5, 7), (mean < 2.5) | (mean > 12)),
         "symbols": vote(symbols, symbols < 0.03, symbols > 0.1),
-        "lines": vote(lines, lines < 0.1, lines > 0.3),
-        "repeats": vote(repeats, repeats < 0.1, repeats > 0.3),
-        "ends": vote(ended, ended > 0.9, ended < 0.3),
+        "lines": vote(lines, lines < 0.35, lines > 0.5),
+        "repeats": vote(repeats, repeats < 0.3, repeats > 0.45),
+        "ends": vote(ended, ended > 0.8, ended < 0.3),
         "capitals": vote(capitals, capitals < 0.15, capitals > 0.3),
         "shouts": vote(shouts, shouts < 0.01, shouts > 0.05),
     }
@@ -171,10 +171,11 @@ def judge(measured: DataFrame) -> tuple[DataFrame, LabelModel]:
     for v in votes.values():
         coded = coded * 3 + v + 1
     measured = measured.withColumn("_plumb_pattern", coded.cast("int"))
-    found = measured.groupBy("_plumb_pattern").count().collect()  # 3^8 rows at most
+    open_ = F.sum(F.when(base_failed(), 0).otherwise(1)).alias("open")  # what fails the base is decided and teaches nothing about the rest
+    found = measured.groupBy("_plumb_pattern").agg(open_).collect()  # 3^8 rows at most
     codes = np.array([r["_plumb_pattern"] for r in found], dtype=np.int64)
     table = codes[:, None] // 3 ** np.arange(len(votes))[::-1] % 3 - 1 if len(codes) else np.zeros((0, len(votes)), np.int64)
-    model = fit(table, np.array([r["count"] for r in found], dtype=np.int64))
+    model = fit(table, np.array([r["open"] for r in found], dtype=np.int64))
     rows = [(int(c), float(p)) for c, p in zip(codes, model.posterior(table), strict=True)]
     posteriors = measured.sparkSession.createDataFrame(rows, "_plumb_pattern int, _plumb_quality double")
     out = measured.join(F.broadcast(posteriors), "_plumb_pattern", "left").withColumn("_plumb_failed", base_failed())
