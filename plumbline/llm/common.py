@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.shipping import ship
+
 #: The same words everywhere: runs of anything but ASCII white space (bytes.split() splits at just these bytes).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,6 +33,7 @@ class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no recomputation of what stands before."""
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
@@ -53,6 +56,7 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, pa.Array
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
