@@ -6,9 +6,11 @@ import colorsys
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.shipping import ship
+
 MARGIN = 0.05
 STEPS = 30
 
@@ -43,6 +45,8 @@ def darkened(fg: str, bg: str, need: float) -> str:
 def repaired(fg: str, bg: str, size: str, bold: str) -> Column:
     """Column of repaired foregrounds; meant for distinct pairs of colours."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf("string")
     def run(f: pd.Series, b: pd.Series, s: pd.Series, k: pd.Series) -> pd.Series:
         return pd.Series([darkened(x, y, 3.0 if z >= (14 if w else 18) else 4.5) for x, y, z, w in zip(f, b, s, k, strict=True)])

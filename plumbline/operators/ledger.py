@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.shipping import ship
+
 
 def spend_status(daily: DataFrame, day_cap: float, week_cap: float, killed: Column | None = None) -> DataFrame:
     """day, day_cost, week_cost, reason from rows (day, cost): the kill switch counts first, then the day's cap, then the week's.
@@ -75,6 +77,7 @@ def rate_limit(events: DataFrame, most: int, window: float) -> DataFrame:
                     kept.append(t)
             yield pd.DataFrame({"user_id": batch.user_id, "event_id": batch.event_id, "allowed": ok, "retry": retry})
 
+    ship(events.sparkSession)
     dealt = events.select("user_id", "event_id", "t").repartition("user_id").sortWithinPartitions("user_id", "t", "event_id")
     return dealt.mapInPandas(fold, "user_id long, event_id long, allowed boolean, retry long")
 
@@ -95,5 +98,6 @@ def deduct(requests: DataFrame) -> DataFrame:
                 balance.append(left)
             yield pd.DataFrame({"user_id": batch.user_id, "seq": batch.seq, "granted": granted, "balance": balance})
 
+    ship(requests.sparkSession)
     dealt = requests.select("user_id", "seq", "pages", "start").repartition("user_id").sortWithinPartitions("user_id", "seq")
     return dealt.mapInPandas(fold, "user_id long, seq long, granted boolean, balance long")

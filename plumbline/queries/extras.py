@@ -14,6 +14,7 @@ from plumbline.operators import checks, structure
 from plumbline.plans import actions
 from plumbline.queries.ledger import PLAN, J, judged, link_actions, page_plan
 from plumbline.registry import query
+from plumbline.shipping import ship
 from plumbline.sources import tables as s
 from plumbline.sources import twins as q
 
@@ -128,6 +129,8 @@ def indented(source: str) -> str | None:
 
 @query("b33_pseudocode_format")
 def b33(spark, sf):
+    ship(spark)
+
     @F.pandas_udf("string")
     def run(source: pd.Series) -> pd.Series:
         return source.map(indented)
@@ -186,6 +189,7 @@ def match_headings(pages: pd.DataFrame) -> pd.DataFrame:
 @query("d16_heading_match")
 def d16(spark, sf):
     """Heading tags hold the first words of some lines; a page is five lines, so a page's pairs are 25 at most."""
+    ship(spark)
     p = s.lines(spark, sf).withColumn("page", F.floor(F.col("pos") / 5))
     words = F.array_distinct(F.split(F.lower("text"), r"\s+"))
     tags = p.where("(doc_id + pos) % 3 = 0").select("doc_id", "page", F.col("pos").alias("tag"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("tag_text"))
@@ -230,6 +234,7 @@ def keep_tables(group: pd.DataFrame) -> pd.DataFrame:
 
 @query("h02_table_dedup")
 def h02(spark, sf):
+    ship(spark)
     cells = s.cells(spark, sf).where("table_id % 4 <> 3").withColumn("low", F.lower(text.strip(F.col("text"))))
     t = cells.groupBy((F.col("table_id") % 997).alias("doc_id"), "table_id").agg(F.collect_set(F.when(F.col("low") != "", F.col("low"))).alias("cells"))
     return t.groupBy("doc_id").applyInPandas(keep_tables, "doc_id long, table_id long")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.operators.ledger import allowed
+from plumbline.shipping import ship
 
 
 def events_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -48,4 +49,5 @@ def limited(stream: DataFrame, most: int, window: float) -> DataFrame:
         state.update((kept,))
         state.setTimeoutDuration(3_600_000)
 
+    ship(stream.sparkSession)
     return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, allowed boolean, retry long", "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
