@@ -24,6 +24,8 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 ENDS = (".", "!", "?", '"', ":", ";")
+#: So many documents is what EM starts from worth; it only counts in small tables.
+WEIGHT = 10
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -149,13 +151,13 @@ def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance: flo
     votes, counts = votes[order], counts[order].astype(float)
     good = counts * np.where((votes == -1).any(axis=1), 0.1, 0.95)
     for _ in range(rounds):
-        shares = np.stack([[[(w @ (votes[:, r] == v) + 0.5 * s[v + 1]) / (w.sum() + 0.5) for v in (-1, 0, 1)] for r in range(width)] for w, s in ((counts - good, start[0]), (good, start[1]))])
+        shares = np.stack([[[(w @ (votes[:, r] == v) + WEIGHT * s[v + 1]) / (w.sum() + WEIGHT) for v in (-1, 0, 1)] for r in range(width)] for w, s in ((counts - good, start[0]), (good, start[1]))])
         for side, better in ((0, 0), (2, 1)):
             pooled = shares[:, :, side].mean(axis=0)
             wrong = shares[better, :, side] < shares[1 - better, :, side]
             shares[:, wrong, side] = pooled[wrong]
         shares /= shares.sum(axis=2, keepdims=True)
-        new = LabelModel(float(np.clip((good.sum() + 1) / (counts.sum() + 2), 0.02, 0.98)), shares)
+        new = LabelModel(float(np.clip((good.sum() + 0.8 * WEIGHT) / (counts.sum() + WEIGHT), 0.02, 0.98)), shares)
         still = np.abs(new.shares - model.shares).max() < tolerance
         model = new
         if still:
