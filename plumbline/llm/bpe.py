@@ -7,7 +7,7 @@ decoder stands for.
 
 The file's stages are followed: special tokens in the raw text, NFC, white space, lower case, split pattern, bytes as visible
 characters, merges with an end-of-word mark. No stage looks past ASCII white space, so a text is cut there first and every
-different word is encoded once per worker. The word table is emptied at a fixed size; it only saves time.
+different word is encoded once per worker. The word table has a fixed size; it only saves time.
 
 Edge cases: a null text is empty; an empty text has no tokens, and both digests are those of nothing; repeated rows each get a
 row; further columns are carried through by ``encode``; an empty table gives an empty result.
@@ -19,15 +19,17 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from plumbline.llm.common import map_arrow
 
-#: Entries after which a worker's table of words is emptied.
-TABLE_SIZE = 400_000
+#: Entries after which the newer half of a worker's table of words is dropped; the words met first are the frequent ones.
+TABLE_SIZE = 250_000
 
 
 def visible_bytes() -> dict[int, str]:
@@ -37,6 +39,11 @@ def visible_bytes() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def halve(table: dict) -> None:
+    for k in list(islice(table, len(table) // 2, None)):
+        del table[k]
+
+
 class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -87,7 +94,7 @@ class Codec:
             symbols[-1] += self.end
             known = [self.vocab[s] for s in self.merge(symbols)]
             if len(self.pieces) >= TABLE_SIZE:
-                self.pieces.clear()
+                halve(self.pieces)
             self.pieces[piece] = known
         return known
 
@@ -110,7 +117,7 @@ class Codec:
         ids = self.ids(raw.decode("utf-8", "surrogatepass"))
         out = (len(ids), "".join(f"{i} " for i in ids), "".join(f"{self.strings[i]} " for i in ids))
         if len(self.words) >= TABLE_SIZE:
-            self.words.clear()
+            halve(self.words)
         self.words[raw] = out
         return out
 
@@ -139,10 +146,11 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def rows(batch: pa.RecordBatch) -> dict:
         found = [codec(path).text(x) for x in batch.column(names.index(text)).to_pylist()]
-        ids = [list(map(int, x[1].split(" "))) if x[0] else [] for x in found]
-        return dict(zip(names, batch.columns, strict=True)) | {"token_ids": ids, "decoded": [x[2] for x in found]}
+        ids = np.fromstring(" ".join(filter(None, (x[1] for x in found))), np.int32, sep=" ")
+        ends = np.concatenate(([0], np.cumsum([x[0] for x in found]))).astype(np.int32)
+        return dict(zip(names, batch.columns, strict=True)) | {"token_ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), "decoded": [x[2] for x in found]}
 
-    return map_arrow(docs, rows, schema)
+    return map_arrow(docs, rows, schema, 100)
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -50,8 +50,8 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, pa.Array | list]], schema: str) -> DataFrame:
-    """mapInArrow with a function from one batch to the columns of one batch."""
+def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, pa.Array | list]], schema: str, step: int = 500) -> DataFrame:
+    """mapInArrow with a function from a few rows to the columns of as many; what Python holds at once is bounded by step."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -59,7 +59,7 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, pa.Array
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, step) for b in batches for k in range(0, b.num_rows, step)):
             out = rows(batch)
             yield pa.RecordBatch.from_arrays(
                 [x if isinstance(x, pa.Array) and x.type == f.type else (x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type)) for f in arrow for x in [out[f.name]]], schema=arrow

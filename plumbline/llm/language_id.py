@@ -28,7 +28,7 @@ from plumbline.llm.common import map_arrow
 
 SAMPLE_DOCS = 150
 SAMPLE_CHARS = 300
-TABLE_SIZE = 400_000
+TABLE_SIZE = 300_000
 
 
 class SuffixAutomaton:

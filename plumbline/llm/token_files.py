@@ -21,7 +21,6 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from plumbline.llm.bpe import visible_bytes
+from plumbline.llm.bpe import halve, visible_bytes
 from plumbline.llm.common import Scratch
 
 END_ID = 2
-TABLE_SIZE = 800_000
+TABLE_SIZE = 700_000
 #: A file is closed once it holds so many ids.
 FILE_IDS = 4_000_000
 SAMPLED = 256
@@ -155,9 +154,7 @@ def _encode(path: str, texts: list[str | None]) -> tuple[list[bytes], int]:
     """Each text's ids as little-endian bytes, END_ID last, and the bytes of an id; a few hundred texts at a time."""
     tokenizer, table, code, wide, direct = _state(path)
     if len(table) > TABLE_SIZE:  # the words met first are the frequent ones
-        rest = list(islice(table, TABLE_SIZE // 2, None))
-        for w in rest:
-            del table[w]
+        halve(table)
     raw = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
     cut = [(x if b"<|" in x else x.lower()).split() for x in raw]  # the vocabulary is of lower case; a special token's spelling counts
     found = [list(map(table.get, words)) for words in cut]
