@@ -53,46 +53,50 @@ class Codec:
             raise ValueError(f"{path} isn't of the kind that is read here")
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
-        self.ranks: dict[tuple[str, str], int] = {tuple(m): k for k, m in enumerate(model["merges"])}
+        #: Rank of a merge by the ids of its two symbols, and the id of what it makes by its rank.
+        self.ranks = {self.vocab[a] << 32 | self.vocab[b]: k for k, (a, b) in enumerate(model["merges"])}
+        self.made = [self.vocab[a + b] for a, b in model["merges"]]
         self.special = {x["content"]: x["id"] for x in j["added_tokens"]}
         self.strings = {v: k for k, v in (self.vocab | self.special).items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pattern = regex.compile(j["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.visible = visible_bytes()
+        self.first = [self.vocab[c] for _, c in sorted(visible_bytes().items())]
+        self.last = [self.vocab[c + self.end] for _, c in sorted(visible_bytes().items())]
         self.pieces: dict[str, list[int]] = {}
         self.words: dict[bytes, tuple[int, str, str]] = {}
 
-    def merge(self, symbols: list[str]) -> list[str]:
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        ranks = self.ranks
-        queue = [(r, k, a, b) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := ranks.get((a, b))) is not None]  # noqa: B905
+    def merge(self, ids: list[int]) -> list[int]:
+        """The list's symbols after all merges; an entry of the queue is rank and place, and stale if the pair there has another rank."""
+        n, ranks, made = len(ids), self.ranks, self.made
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [r << 32 | k for k in range(n - 1) if (r := ranks.get(ids[k] << 32 | ids[k + 1])) is not None]
         heapq.heapify(queue)
         while queue:
-            _, k, a, b = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            k, rank = entry & 0xFFFFFFFF, entry >> 32
             j = after[k]
-            if j < 0 or symbols[k] != a or symbols[j] != b:
+            if j >= n or ids[k] < 0 or ranks.get(ids[k] << 32 | ids[j]) != rank:
                 continue  # stale
-            symbols[k] = both = a + b
-            symbols[j] = ""
-            after[k] = nxt = after[j]
-            after[j] = -1
-            if nxt >= 0:
-                before[nxt] = k
-                if (r := ranks.get((both, symbols[nxt]))) is not None:
-                    heapq.heappush(queue, (r, k, both, symbols[nxt]))
-            prev = before[k]
-            if prev >= 0 and (r := ranks.get((symbols[prev], both))) is not None:
-                heapq.heappush(queue, (r, prev, symbols[prev], both))
-        return [s for s in symbols if s]
+            ids[k] = both = made[rank]
+            ids[j] = -1
+            after[k] = j = after[j]
+            if j < n:
+                before[j] = k
+                if (r := ranks.get(both << 32 | ids[j])) is not None:
+                    heapq.heappush(queue, r << 32 | k)
+            j = before[k]
+            if j >= 0 and (r := ranks.get(ids[j] << 32 | both)) is not None:
+                heapq.heappush(queue, r << 32 | j)
+        return [i for i in ids if i >= 0]
 
     def piece(self, piece: str) -> list[int]:
         """Ids of one piece of the split pattern."""
         known = self.pieces.get(piece)
         if known is None:
-            symbols = [self.visible[b] for b in piece.encode("utf-8", "surrogatepass")]
-            symbols[-1] += self.end
-            known = [self.vocab[s] for s in self.merge(symbols)]
+            raw = piece.encode("utf-8", "surrogatepass")
+            ids = [self.first[b] for b in raw]
+            ids[-1] = self.last[raw[-1]]
+            known = self.merge(ids)
             if len(self.pieces) >= TABLE_SIZE:
                 halve(self.pieces)
             self.pieces[piece] = known
