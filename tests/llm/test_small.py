@@ -526,3 +526,54 @@ def test_blocks_meet_for_every_near_pair(spark):
     got = {(r.p, r.q) for r in line_dedup.near_fingerprints(spark.createDataFrame([(f,) for f in signed], "_fp long")).collect()}
     want = {(min(a, b), max(a, b)) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
     assert got == want
+
+
+def edit_groups(forms):
+    """Of each form the first in order that edit similarity alone links it to."""
+
+    def alike(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1] <= 0.2 * max(len(a), len(b)) + 1e-9
+
+    root = list(range(len(forms)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, j in itertools.combinations(range(len(forms)), 2):
+        if alike(forms[i], forms[j]):
+            a, b = sorted((top(i), top(j)))
+            root[b] = a
+    return [top(k) for k in range(len(forms))]
+
+
+def lines_left(spark, path, lines):
+    spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(lines)], "doc_id long, text string").repartition(3).write.parquet(path)
+    return {r.doc_id for r in line_dedup.dedup_lines(spark.read.parquet(path)).where("n_removed = 0").collect()}
+
+
+def test_lines_against_edit_similarity_alone(spark, tmp_path):
+    rng = random.Random(91)
+    lines = []
+    for n in [4, 5, 6, 7, 8, 9, 10, 11, 13, 14, 15, 16, 19, 20, 24, 25, 31, 60]:
+        for most in (n // 5, n // 5, n // 5 + 1):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            other = list(base)
+            for k in rng.sample(range(n), most):
+                other[k] = f"v{rng.randrange(10**6)}"
+            shifted = list(base)
+            for k in sorted(rng.sample(range(n), most), reverse=True):
+                if rng.random() < 0.5:
+                    del shifted[k]
+                else:
+                    shifted.insert(k, f"u{rng.randrange(10**6)}")
+            lines += [base, other, shifted]
+    lines = [list(x) for x in dict.fromkeys(map(tuple, lines))]
+    groups = edit_groups(lines)
+    assert lines_left(spark, str(tmp_path / "l"), lines) == set(groups) and len(set(groups)) < len(lines) - 40
