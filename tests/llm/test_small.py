@@ -577,3 +577,17 @@ def test_lines_against_edit_similarity_alone(spark, tmp_path):
     lines = [list(x) for x in dict.fromkeys(map(tuple, lines))]
     groups = edit_groups(lines)
     assert lines_left(spark, str(tmp_path / "l"), lines) == set(groups) and len(set(groups)) < len(lines) - 40
+
+
+def test_lines_of_one_common_word_against_edit_similarity(spark, tmp_path):
+    rng = random.Random(92)
+    lines = []
+    for _ in range(12):  # over half of each line is one word
+        cells = [f"c{rng.randrange(10**6)}" for _ in range(5)]
+        base = ["|"] * 7 + cells[:3] + ["|"] + cells[3:]
+        other = list(base)
+        other[rng.choice((7, 8, 9))] = f"d{rng.randrange(10**6)}"
+        lines += [base, other]
+    groups = edit_groups(lines)
+    assert lines_left(spark, str(tmp_path / "l"), lines) == set(groups)
+    assert len(set(groups)) == 12
