@@ -23,14 +23,19 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch, components, map_arrow, unsigned_hex, with_row_id
+from plumbline.shipping import ship
 
 RADIUS = 2
 SHINGLE = 3
 BLOCKS = 6
+#: Of keep_one_alike, besides the radius: words of a shingle and Jaccard similarity; texts whose shingles tell which are frequent.
+STAGE_SHINGLE = 5
+SIMILARITY = 0.8
+SAMPLE = 2000
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -203,3 +208,104 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     rooted = _rooted(scratch, marked, F.min(F.struct(F.col(key).isNull(), F.col(key), F.col("_plumb_row"))))
     stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best._plumb_row").alias("_plumb_row"))
     return numbered.join(stay, "_plumb_row", "left_semi").select(*docs.columns)
+
+
+def shingle_hashes(text: str | None, width: int = STAGE_SHINGLE) -> np.ndarray:
+    """The different hashes of the text's shingles, in order; a text of fewer words is one shingle, one without words the empty one."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    one = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter([one(b" ".join(words[k : k + width]), 42) for k in range(max(1, len(words) - width + 1))], np.uint64))
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """(id, text) to id, h (the shingles' hashes as bytes)."""
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        return {"id": batch.column(0), "h": [shingle_hashes(x).tobytes() for x in batch.column(1).to_pylist()]}
+
+    return map_arrow(docs, rows, "id bigint, h binary")
+
+
+def _prefixes(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(key, id): the first shingles of each set, as many as two alike sets can't both do without.
+
+    Sets of n and m shingles with similarity SIMILARITY have 0.8 n in common at least; so if all are put into one order, the first
+    n - 0.8 n + 1 of one and of the other have one in common. Any one order serves; shingles known as frequent come last.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ids = [], []
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = np.frombuffer(raw, np.uint64)
+                h = h[np.argsort(np.isin(h, frequent), kind="stable")][: len(h) - int(np.ceil(SIMILARITY * len(h) - 1e-9)) + 1]
+                keys.append(h.view(np.int64))
+                ids.append(np.full(len(h), k, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["key", "id"])
+
+    ship(sets.sparkSession)
+    return sets.mapInArrow(rows, "key bigint, id bigint")
+
+
+def _alike_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have a Jaccard similarity of SIMILARITY or more."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("h").alias(f"{c}_h"))
+    sizes = F.length("a_h") >= SIMILARITY * F.length("b_h") - 1e-6, F.length("b_h") >= SIMILARITY * F.length("a_h") - 1e-6
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(sizes[0] & sizes[1])
+    return met.select("a", "b", "a_h", "b_h").mapInArrow(rows, "a bigint, b bigint")
+
+
+def alike_links(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join any two of the texts (id, text) whose shingles have a Jaccard similarity of SIMILARITY or more.
+
+    All members of a key's group are held against its least one first; then those of one group that aren't in one component yet
+    against each other, each with each.
+    """
+    sets = scratch.write(_sets(docs))
+    sample = [np.frombuffer(r.h, np.uint64) for r in sets.select("h").limit(SAMPLE).toLocalIterator()]
+    values, counts = np.unique(np.concatenate(sample), return_counts=True) if sample else (np.zeros(0, np.uint64), np.zeros(0, int))
+    dealt = _prefixes(sets, values[counts > 2])
+    whole = Window.partitionBy("key")
+    dealt = dealt.withColumn("head", F.min("id").over(whole)).withColumn("most", F.max("id").over(whole))
+    members = scratch.write(dealt.where("head < most").select("key", "id", "head"))
+    stars = scratch.write(_alike_sets(members.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), sets))
+    roots = components(scratch, stars).toDF("id", "root")
+    rooted = scratch.write(members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
+    rooted = scratch.write(rooted.join(apart, "key", "left_semi"))
+    rest = rooted.toDF("key", "a", "_ra").join(rooted.toDF("key", "b", "_rb"), "key").where("a < b and _ra <> _rb").select("a", "b").distinct()
+    return stars.union(scratch.write(_alike_sets(rest, sets)))
+
+
+def keep_one_alike(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay: of each group the one with the smallest key (null last, then in reading order).
+
+    Texts are of one group if their shingles of five words have a Jaccard similarity of 0.8 or more, or if their fingerprints are
+    within the query's radius.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    numbered = with_row_id(docs, "_plumb_row")
+    marked = scratch.write(fingerprints(numbered, [key, "_plumb_row"], text))
+    place = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_plumb_row").alias("id"))
+    rooted = scratch.write(_rooted(scratch, marked, F.min(place)))
+    # equal texts have equal shingles: the first of each text is held against the others
+    same = numbered.withColumn("_ta", F.xxhash64(text)).withColumn("_tb", F.xxhash64(F.lit(7), text)).groupBy("_ta", "_tb").agg(F.min("_plumb_row").alias("_plumb_row")).select("_plumb_row")
+    alike = alike_links(scratch, numbered.join(same, "_plumb_row", "left_semi").select(F.col("_plumb_row").alias("id"), text))
+    # rows to the roots of their fingerprints; links of texts become links of roots
+    at = scratch.write(marked.select("_plumb_row", "fp").join(rooted.select("fp", "root"), "fp").select("_plumb_row", "root"))
+    side = lambda c: at.toDF(c, f"{c}_root")
+    wider = alike.join(side("a"), "a").join(side("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    tops = components(scratch, wider).toDF("root", "top")
+    stay = rooted.join(tops, "root", "left").groupBy(F.coalesce("top", "root").alias("root")).agg(F.min("best").alias("best"))
+    return numbered.join(stay.select(F.col("best.id").alias("_plumb_row")), "_plumb_row", "left_semi").select(*docs.columns)

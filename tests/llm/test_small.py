@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from conftest import SF
 
+import corpus_pipeline
 from plumbline.llm import bpe, kd_shards, language_id, line_dedup, media_jpeg, mixing, quality_rules, simhash_neardup, substring_dedup, token_files
 from plumbline.llm.common import Scratch, components
 from plumbline.llm.queries import vocabulary
@@ -591,3 +592,23 @@ def test_lines_of_one_common_word_against_edit_similarity(spark, tmp_path):
     groups = edit_groups(lines)
     assert lines_left(spark, str(tmp_path / "l"), lines) == set(groups)
     assert len(set(groups)) == 12
+
+
+def test_stage_near_duplicates_against_brute_jaccard(spark, tmp_path):
+    rng = random.Random(93)
+    texts = []
+    for n, changed in ((60, 1), (100, 1), (100, 2), (200, 3), (200, 8), (300, 4), (30, 2), (400, 6)):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        other = list(base)
+        for k in rng.sample(range(n), changed):
+            other[k] = f"v{rng.randrange(10**6)}"
+        texts += [base, other]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    group = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            group = [group[i] if g == group[j] else g for g in group]
+    path = str(tmp_path / "k")
+    spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(2).write.parquet(path)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.read.parquet(path), SF).collect()} == set(group)
+    assert len(set(group)) < len(texts) - 4
