@@ -612,3 +612,13 @@ def test_stage_near_duplicates_against_brute_jaccard(spark, tmp_path):
     spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(2).write.parquet(path)
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.read.parquet(path), SF).collect()} == set(group)
     assert len(set(group)) < len(texts) - 4
+
+
+def test_passage_at_two_places_of_one_text(spark, tmp_path):
+    unlike = lambda seed, n: " ".join(f"w{random.Random(seed * 1000 + k).randrange(10**9)}" for k in range(n))
+    passage = unlike(94, 60)
+    texts = [f"{unlike(95, 20)} {passage} {unlike(96, 100)} {passage} {unlike(97, 30)}", passage]
+    path = str(tmp_path / "p")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    rows = substring_dedup.find_passages(spark.read.parquet(path)).collect()
+    assert {(r.doc_id, r.start_word, r.end_word) for r in rows} == {(0, 20, 80), (0, 180, 240), (1, 0, 60)}
