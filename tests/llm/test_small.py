@@ -622,3 +622,15 @@ def test_passage_at_two_places_of_one_text(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
     rows = substring_dedup.find_passages(spark.read.parquet(path)).collect()
     assert {(r.doc_id, r.start_word, r.end_word) for r in rows} == {(0, 20, 80), (0, 180, 240), (1, 0, 60)}
+
+
+def test_hashes_find_passages_with_a_changed_word():
+    rng, found = random.Random(98), 0
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for _ in range(1000):
+        passage = some(50)
+        edited = passage[:25] + ["changed"] + passage[26:]
+        a, b = (list(zip(*(x.tolist() for x in substring_dedup.signatures(substring_dedup.tokens(" ".join(some(60) + w + some(60))))), strict=True)) for w in (passage, edited))
+        at = {x[0]: x for x in b}
+        found += any(x[0] in at and min(x[4], at[x[0]][4]) - max(x[3], at[x[0]][3]) >= 46 for x in a)
+    assert found >= 999  # three hash functions: 997
