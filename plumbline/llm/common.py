@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.shipping import ship
@@ -20,17 +20,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, else (as in tests) an own one."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, else (in local mode alone, as in tests) an own one."""
     known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
+    if known:
+        return known.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir isn't set: on a cluster it has to name a folder that all executors share")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="plumbline-")
+    return _own_dirs[context.applicationId]
+
+
+#: Spark deletes an execution's shuffle files as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
-    """Tables written to the shared folder, so that a lost executor costs no recomputation of what stands before."""
+    """Tables written to the shared folder, so that a lost executor costs no recomputation of what stands before.
+
+    Once a table is written, the shuffle files it was made from serve nothing; they are deleted at once, so that the disk holds those of one table
+    at a time. The folder itself goes with the driver's JVM.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         ship(spark)
@@ -38,16 +53,28 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
 
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def write(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        if self.count == 1:
+            root, files = self._path(self.root)
+            files.deleteOnExit(root)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, number: int) -> None:
         """Deletes the table written as that number; nothing that is still read may stand on it."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{number}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._path(f"{self.root}/{number}")
+        files.delete(path, True)
 
 
 def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, pa.Array | list]], schema: str, step: int = 500) -> DataFrame:
@@ -92,9 +119,34 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         scratch.drop(number)
 
 
-def with_row_id(docs: DataFrame, name: str) -> DataFrame:
-    """Adds a number for each row. The rows must come from a scan (of Parquet files, say), where a second reading numbers them alike."""
-    return docs.withColumn(name, F.monotonically_increasing_id())
+def is_file_scan(df: DataFrame) -> bool:
+    """Whether the rows are those of files, projected or filtered at most."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() in ("LogicalRelation", "Relation")
+
+
+#: So many files' names are sent to every task at most; with more, names are joined by a shuffle.
+MOST_FILES = 100_000
+
+
+def with_row_id(scratch: Scratch, docs: DataFrame, name: str) -> DataFrame:
+    """Adds a long for each row, the same at every later reading, whatever executors are there then.
+
+    Rows of files are numbered by their file's rank among the names and their place in it, which no split of the files changes. Any other
+    rows are written with their numbers once and read from there.
+    """
+    if not is_file_scan(docs):
+        return scratch.write(docs.withColumn(name, F.monotonically_increasing_id()))
+    meta = docs.metadataColumn("_metadata")
+    marked = docs.select("*", meta["file_path"].alias("_plumb_file"), meta["row_index"].alias("_plumb_at"))
+    rank = F.row_number().over(Window.orderBy("_plumb_file")) - 1  # a row for each file
+    files = scratch.write(marked.select("_plumb_file").distinct().withColumn("_plumb_rank", rank.cast("long")))
+    if files.count() <= MOST_FILES:
+        files = F.broadcast(files)
+    number = F.shiftleft("_plumb_rank", 40) + F.col("_plumb_at")
+    return marked.join(files, "_plumb_file").select(*docs.columns, number.alias(name))
 
 
 def unsigned_hex(c: Column) -> Column:

@@ -113,7 +113,7 @@ def by_position(planned: DataFrame) -> DataFrame:
 
 def training_order(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of docs as the mix takes them, in the order of training: repeated, left out and range-sorted by position."""
-    numbered = with_row_id(docs, "_plumb_row")
+    numbered = with_row_id(Scratch(docs.sparkSession, "mixing"), docs, "_plumb_row")
     planned = plan(numbered, key, text, source, carry=("_plumb_row",)).where("copies > 0")
     copies = planned.select("_plumb_row", F.explode("positions").alias("_plumb_position"))
     placed = numbered.join(copies, "_plumb_row")

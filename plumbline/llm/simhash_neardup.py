@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay: of each group the one with the smallest key (null last, then in reading order)."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    numbered = with_row_id(docs, "_plumb_row")
+    numbered = with_row_id(scratch, docs, "_plumb_row")
     marked = scratch.write(fingerprints(numbered, [key, "_plumb_row"], text))
     rooted = _rooted(scratch, marked, F.min(F.struct(F.col(key).isNull(), F.col(key), F.col("_plumb_row"))))
     stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best._plumb_row").alias("_plumb_row"))
@@ -295,7 +295,7 @@ def keep_one_alike(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     within the query's radius.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    numbered = with_row_id(docs, "_plumb_row")
+    numbered = with_row_id(scratch, docs, "_plumb_row")
     marked = scratch.write(fingerprints(numbered, [key, "_plumb_row"], text))
     place = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_plumb_row").alias("id"))
     rooted = scratch.write(_rooted(scratch, marked, F.min(place)))

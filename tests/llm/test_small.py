@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -451,18 +452,6 @@ def test_mixing(spark, docs, empty):
 # 9
 
 
-def brute_lines(rows):
-    """The same rules, one line after another."""
-    lines = []
-    for place, (key, text) in enumerate(rows):
-        for n, raw in enumerate((text or "").split("\n")):
-            w = [x.decode() for x in words(raw.lower())]
-            if w:
-                h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
-                lines.append((w, sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64)), (key is None, key, place, n)))
-    return lines
-
-
 def test_line_dedup(docs, empty):
     out = line_dedup.dedup_lines(docs)
     rows = {r.doc_id: r for r in out.where("doc_id not in (5)").collect()}
@@ -477,68 +466,22 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_lines_against_brute_force(spark):
-    table = spark.read.parquet(f"{SF}/documents.parquet")
-    lines = brute_lines([(r.doc_id, r.text) for r in table.orderBy("doc_id").collect()])
-    forms = {}
-    for w, fp, place in lines:
-        key = " ".join(w)
-        if key not in forms or place < forms[key][1]:
-            forms[key] = (fp, place, w)
-
-    def alike(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, last = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1] <= 0.2 * max(len(a), len(b)) + 1e-9
-
-    fps = {}
-    for key, (fp, _, _) in forms.items():
-        fps.setdefault(fp, []).append(key)
-    shared = [k for k, v in fps.items() if len(v) > 1]
-    root = {k: k for k in forms}
-
-    def top(k):
-        while root[k] != k:
-            k = root[k]
-        return k
-
-    reps = {fp: keys[0] for fp, keys in fps.items()}
-    for a, b in itertools.combinations(fps, 2):
-        if (a ^ b).bit_count() <= 3 and alike(forms[reps[a]][2], forms[reps[b]][2]):
-            root[top(reps[a])] = top(reps[b])
-    groups = {}
-    for key in forms:
-        groups.setdefault(top(key), []).append(key)
-    kept = len(groups)
-    removed = sum(r.n_removed for r in line_dedup.dedup_lines(table).collect())
-    assert not shared or len(shared) < 5
-    assert removed == len(lines) - kept
-
-
-def test_blocks_meet_for_every_near_pair(spark):
-    rng = random.Random(8)
-    fps = {rng.getrandbits(64) for _ in range(100)}
-    for f in list(fps):
-        fps.add(f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
-    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = {(r.p, r.q) for r in line_dedup.near_fingerprints(spark.createDataFrame([(f,) for f in signed], "_fp long")).collect()}
-    want = {(min(a, b), max(a, b)) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
-    assert got == want
-
-
 def edit_groups(forms):
     """Of each form the first in order that edit similarity alone links it to."""
 
+    bags = [Counter(f) for f in forms]
+
     def alike(a, b):
+        most = int(0.2 * max(len(forms[a]), len(forms[b])) + 1e-9)
+        if max(sum((bags[a] - bags[b]).values()), sum((bags[b] - bags[a]).values())) > most:
+            return False  # each edit mends one word on either side
+        a, b = forms[a], forms[b]
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
             row, last = [i], row
             for j, y in enumerate(b, 1):
                 row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1] <= 0.2 * max(len(a), len(b)) + 1e-9
+        return row[-1] <= most
 
     root = list(range(len(forms)))
 
@@ -548,7 +491,7 @@ def edit_groups(forms):
         return k
 
     for i, j in itertools.combinations(range(len(forms)), 2):
-        if alike(forms[i], forms[j]):
+        if abs(len(forms[i]) - len(forms[j])) <= 0.2 * max(len(forms[i]), len(forms[j])) + 1e-9 and alike(i, j):
             a, b = sorted((top(i), top(j)))
             root[b] = a
     return [top(k) for k in range(len(forms))]
@@ -559,6 +502,40 @@ def lines_left(spark, path, lines):
     return {r.doc_id for r in line_dedup.dedup_lines(spark.read.parquet(path)).where("n_removed = 0").collect()}
 
 
+def test_lines_of_a_table_against_edit_similarity_alone(spark):
+    """All lines of all texts, each held against each whose length and words leave a chance."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    lines = [[x.decode() for x in words(raw.lower())] for r in table.orderBy("doc_id").collect() for raw in (r.text or "").split("\n")]
+    lines = [w for w in lines if w]
+    forms = [list(x) for x in dict.fromkeys(map(tuple, lines))]
+    kept = len(set(edit_groups(forms)))
+    out = line_dedup.dedup_lines(table).collect()
+    assert sum(r.n_removed for r in out) == len(lines) - kept and kept < len(forms)
+
+
+def test_lines_of_unlike_order(spark, tmp_path):
+    """A line, the same with two neighbours swapped, the same from end to start: the first two are alike, whichever comes first."""
+    rng, lines = random.Random(95), []
+    for k in range(20):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(20)]
+        swapped = base[:7] + [base[8], base[7]] + base[9:]
+        triple = [base, swapped, base[::-1]]
+        rng.shuffle(triple)
+        lines += triple
+    assert len(lines_left(spark, str(tmp_path / "l"), lines)) == 40
+
+
+def test_words_of_one_letter_are_told_apart(spark):
+    """Lines of words that share a letter are similar by letters, and not by words."""
+    rows = spark.range(20_000).selectExpr("concat('w', id) w", "pmod(xxhash64(concat('w', id)), 1920) h").groupBy("h").agg({"w": "collect_list"}).where("size(`collect_list(w)`) >= 10").limit(5).collect()
+    for r in rows:
+        w = r[1][:10]
+        pair = spark.createDataFrame([(" ".join(w[:5]), " ".join(w[5:])), (" ".join(w), " ".join(w[:8] + ["x", "y"])), (" ".join(w), " ".join(w[:7] + ["x", "y", "z"]))], "a string, b string")
+        exact = pair.select(line_dedup.similar_words(pair.a, pair.b).alias("s")).collect()
+        letters = pair.select(line_dedup.similar(line_dedup.as_letters(pair.a), line_dedup.as_letters(pair.b)).alias("s")).collect()
+        assert [x.s for x in exact] == [False, True, False] and letters[0].s
+
+
 def test_lines_against_edit_similarity_alone(spark, tmp_path):
     rng = random.Random(91)
     lines = []
