@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import colour, text
+from plumbline.operators import structure
 
 
 def link_issues(links: DataFrame) -> DataFrame:
@@ -31,20 +30,61 @@ def roll_up(checks: DataFrame, key: str) -> DataFrame:
     return g.select("*", F.when(F.col("failed") > 0, "fail").when(F.col("warnings") > 0, "warn").otherwise("pass").alias("status"), summary.alias("summary"))
 
 
-def page_checks(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """page_id, criterion, status, items, issues for the four checks that a page's markup decides."""
+def structure_check(paragraphs: DataFrame, candidates: DataFrame, tables: DataFrame) -> DataFrame:
+    """doc_id, status, items, issues of 1.3.1: headings in disguise, tables without header cells or with merged ones, levels of headings.
+
+    paragraphs: doc_id, pos, heading_level; candidates: doc_id of each paragraph that looks like a heading; tables: doc_id, issues, th (header cells), tagged (whether the
+    document has a tree of tags, where one table without header cells among several is another issue). Skipped levels and a missing first level fail, all else warns.
+    """
+    levels = structure.heading_issues(paragraphs).groupBy("doc_id").agg(F.count("*").alias("of_levels"), F.bool_or(F.col("issue").isin("skipped_level", "no_h1")).alias("errors"))
+    bare = F.sum((F.col("tagged") & (F.col("th") == 0)).cast("int"))
+    t = tables.groupBy("doc_id").agg(F.count("*").alias("tables"), (F.sum("issues") + F.when(F.count("*") > 1, bare).otherwise(0)).alias("of_tables"))
+    d = paragraphs.groupBy("doc_id").agg(F.count("*").alias("paragraphs"))
+    for part in (levels, candidates.groupBy("doc_id").agg(F.count("*").alias("disguised")), t):
+        d = d.join(part, "doc_id", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    d = d.select("doc_id", "errors", (F.col("paragraphs") + n("tables")).alias("items"), (n("of_levels") + n("disguised") + n("of_tables")).alias("issues"))
+    return d.select("doc_id", F.when(F.col("errors"), "fail").when(F.col("issues") > 0, "warn").otherwise("pass").alias("status"), "items", "issues")
+
+
+def document_checks(pages: DataFrame, links: DataFrame, images: DataFrame, runs: DataFrame, structure_: DataFrame) -> DataFrame:
+    """page_id, criterion, status, items, issues: all seven checks of every page.
+
+    pages: page_id, html, read once; links: page_id, pos, text, url; images: doc_id, alt, decorative; runs: doc_id, fg, bg, size, bold; structure_: what structure_check gives. Those
+    with a doc_id belong to the page of that number; a page without images, links or runs isn't judged by them, one without paragraphs has no structure to fault.
+    """
     found = lambda p: text.strip(F.regexp_extract("html", p, 1)) != ""
-    yes = lambda name, c: pages.select("page_id", F.lit(name).alias("criterion"), F.when(c, "pass").otherwise("fail").alias("status"), F.lit(1).cast("long").alias("items"), F.when(c, 0).otherwise(1).cast("long").alias("issues"))
-    per_page = links.groupBy("page_id").agg(F.count("*").alias("items"))
-    bad = link_issues(links).groupBy("page_id").agg(F.count("*").alias("issues"))
-    l = pages.select("page_id").join(per_page, "page_id", "left").join(bad, "page_id", "left")  # noqa: E741
-    status = F.when(F.col("items").isNull(), "na").when(F.col("issues") > 0, "fail").otherwise("pass")
-    purpose = l.select("page_id", F.lit("2.4.4").alias("criterion"), status.alias("status"), F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("issues", F.lit(0)).alias("issues"))
     heads = F.transform(F.regexp_extract_all("html", F.lit("<h[1-6]>([^<]*)</h[1-6]>"), F.lit(1)), text.strip)
-    short = F.size(F.filter(heads, lambda x: F.length(x) < 2))
-    h = pages.select("page_id", F.size(heads).cast("long").alias("items"), F.when(F.size(heads) == 0, 1).otherwise(short).cast("long").alias("issues"))
-    headings = h.select("page_id", F.lit("2.4.6").alias("criterion"), F.when(F.col("issues") > 0, "warn").otherwise("pass").alias("status"), "items", "issues")
-    return reduce(DataFrame.unionByName, (yes("2.4.2", found("<title>([^<]*)</title>")), purpose, headings, yes("3.1.1", found('<html lang="([^"]*)"'))))
+    p = pages.select("page_id", found("<title>([^<]*)</title>").alias("title"), found('<html lang="([^"]*)"').alias("lang"), F.size(heads).alias("heads"), F.size(F.filter(heads, lambda x: F.length(x) < 2)).alias("short"))
+    contrast = contrast_check(runs)
+    parts = {
+        "link": links.groupBy("page_id").agg(F.count("*").alias("link_items")),
+        "linked": link_issues(links).groupBy("page_id").agg(F.count("*").alias("link_issues")),
+        "alt": alt_check(images).toDF("page_id", "alt_status", "alt_items", "alt_issues"),
+        "contrast": contrast.select(F.col("doc_id").alias("page_id"), F.col("items").alias("run_items"), F.col("issues").alias("run_issues")),
+        "structure": structure_.select(F.col("doc_id").alias("page_id"), F.col("status").alias("structure_status"), F.col("items").alias("structure_items"), F.col("issues").alias("structure_issues")),
+    }
+    for part in parts.values():
+        p = p.join(part, "page_id", "left")
+
+    def check(name: str, status: Column, items: Column, issues: Column) -> Column:
+        whole = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+        return F.struct(F.lit(name).alias("criterion"), status.alias("status"), whole(items).alias("items"), whole(issues).alias("issues"))
+
+    c = F.col
+    yes = lambda name, ok: check(name, F.when(c(ok), "pass").otherwise("fail"), F.lit(1), F.when(c(ok), 0).otherwise(1))
+    any_ = lambda items, issues: F.when(c(items).isNull(), "na").when(c(issues) > 0, "fail").otherwise("pass")
+    untitled = F.when(c("heads") == 0, 1).otherwise(c("short"))
+    checks = F.array(
+        check("1.1.1", F.coalesce("alt_status", F.lit("na")), c("alt_items"), c("alt_issues")),
+        check("1.3.1", F.coalesce("structure_status", F.lit("pass")), c("structure_items"), c("structure_issues")),
+        check("1.4.3", any_("run_items", "run_issues"), c("run_items"), c("run_issues")),
+        yes("2.4.2", "title"),
+        check("2.4.4", any_("link_items", "link_issues"), c("link_items"), c("link_issues")),
+        check("2.4.6", F.when(untitled > 0, "warn").otherwise("pass"), c("heads"), untitled),
+        yes("3.1.1", "lang"),
+    )
+    return p.select("page_id", F.explode(checks).alias("x")).select("page_id", "x.*")
 
 
 def contrast_check(runs: DataFrame) -> DataFrame:

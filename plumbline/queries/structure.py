@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import colour, text
 from plumbline.operators import checks, structure
 from plumbline.queries.scalar import LIST_TYPE, REPAIR, SEVERITY, alt_sql, quoted
-from plumbline.registry import query
+from plumbline.registry import ORACLES, query
 from plumbline.sources import tables as s
 from plumbline.sources import twins as q
 
@@ -339,23 +339,6 @@ def e06(spark, sf):
     return n.select("page_id", "items", F.coalesce("issues", F.lit(0)).alias("issues"), F.when(F.col("issues") > 0, "fail").otherwise("pass").alias("status"))
 
 
-PAGE_CHECKS = f"""{ISSUES}, c AS (SELECT page_id, '2.4.2' AS criterion, CASE WHEN regexp_extract(html, '<title>([^<]*)</title>', 1) <> '' THEN 'pass' ELSE 'fail' END AS status, 1 AS items FROM pages
-  UNION ALL SELECT page_id, '3.1.1', CASE WHEN regexp_extract(html, '<html lang="([^"]*)"', 1) <> '' THEN 'pass' ELSE 'fail' END, 1 FROM pages
-  UNION ALL SELECT page_id, '2.4.4', CASE WHEN page_id NOT IN (SELECT page_id FROM anchors) THEN 'na' WHEN page_id IN (SELECT page_id FROM issues) THEN 'fail' ELSE 'pass' END, (SELECT count(*) FROM anchors a WHERE a.page_id = p.page_id) FROM pages p
-  UNION ALL SELECT page_id, '2.4.6', CASE WHEN len(h) = 0 OR len(list_filter(h, lambda x: length(trim(x)) < 2)) > 0 THEN 'warn' ELSE 'pass' END, len(h) FROM (SELECT page_id, regexp_extract_all(html, '<h[1-6]>([^<]*)</h[1-6]>', 1) AS h FROM pages))"""
-
-
-@query("e07_page_checks", f"WITH {PAGE_CHECKS} SELECT page_id, criterion, status, items FROM c")
-def e07(spark, sf):
-    return checks.page_checks(s.table(spark, sf, "pages"), s.faulty_anchors(spark, sf)).drop("issues")
-
-
-@query("e02_validation_roll_up", f"""WITH {PAGE_CHECKS}, n AS (SELECT page_id, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'fail') AS failed, count(*) FILTER (status = 'warn') AS warnings, count(*) FILTER (status = 'na') AS not_applicable FROM c GROUP BY 1)
-  SELECT *, CASE WHEN failed > 0 THEN 'fail' WHEN warnings > 0 THEN 'warn' ELSE 'pass' END AS status, concat_ws(', ', CASE WHEN failed > 0 THEN failed || ' failed' END, CASE WHEN warnings > 0 THEN warnings || ' warnings' END, CASE WHEN passed > 0 THEN passed || ' passed' END, CASE WHEN not_applicable > 0 THEN not_applicable || ' N/A' END) AS summary FROM n""")
-def e02(spark, sf):
-    return checks.roll_up(checks.page_checks(s.table(spark, sf, "pages"), s.faulty_anchors(spark, sf)), "page_id")
-
-
 @query("e03_alt_check", f"""WITH {q.ALTS}, {alt_sql(text.AUTO_CAPTIONS)}, k AS (SELECT doc_id, CASE WHEN decorative THEN 'skipped' WHEN trim(alt) = '' THEN 'bad' ELSE quality END AS g FROM graded)
   SELECT doc_id, CASE WHEN count(*) FILTER (g = 'bad') > 0 THEN 'fail' WHEN count(*) FILTER (g = 'borderline') > 0 THEN 'warn' ELSE 'pass' END AS status, count(*) AS items, count(*) FILTER (g IN ('bad', 'borderline')) AS issues FROM k GROUP BY 1""")
 def e03(spark, sf):
@@ -397,6 +380,51 @@ def i09(spark, sf):
     return checks.contrast_check(s.colours(spark, sf)).where("severe > 0").select("doc_id", F.col("severe").alias("n"))
 
 
+CANDIDATES = ORACLES["f04_heading_score_office"].replace(q.FAULTY_LINES, q.OUTLINED).replace("(doc_id + pos) % 4 = 0 AS bold", "doc_id % 3 <> 1 AND (doc_id + pos) % 4 = 0 AS bold")
+STRUCTURE = f"""h AS (SELECT doc_id, count(*) AS n, bool_or(issue IN ('no_h1', 'skipped_level')) AS errors FROM ({ORACLES["f01_heading_hierarchy"].replace(q.FAULTY_LINES, q.OUTLINED)}) GROUP BY 1),
+  f AS (SELECT doc_id, count(*) AS n FROM ({CANDIDATES}) WHERE score >= 0.5 GROUP BY 1), p AS (WITH {q.LINES} SELECT doc_id, count(*) AS n FROM lines GROUP BY 1),
+  t AS (WITH {q.CELLS}, x AS (SELECT table_id // 40 AS doc_id, table_id, (max(header_rows) = 0)::INT + bool_or(span > 1)::INT AS issues, count(*) FILTER (r < header_rows) AS th FROM cells WHERE table_id // 40 % 2 = 1 AND table_id % 40 < 8 GROUP BY ALL)
+    SELECT doc_id, count(*) AS n, sum(issues) + CASE WHEN count(*) > 1 AND doc_id % 4 = 1 THEN count(*) FILTER (th = 0) ELSE 0 END AS issues FROM x GROUP BY 1),
+  s AS (SELECT doc_id, CASE WHEN errors THEN 'fail' WHEN coalesce(h.n, 0) + coalesce(f.n, 0) + coalesce(t.issues, 0) > 0 THEN 'warn' ELSE 'pass' END AS status, (p.n + coalesce(t.n, 0))::BIGINT AS items, (coalesce(h.n, 0) + coalesce(f.n, 0) + coalesce(t.issues, 0))::BIGINT AS issues
+    FROM p LEFT JOIN h USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN t USING (doc_id))"""
+
+
+@query("e04_structure_check", f"WITH {STRUCTURE} SELECT * FROM s")
+def e04(spark, sf):
+    paragraphs = s.outlined(spark, sf)
+    candidates = structure.fake_heading_scores(paragraphs, OFFICE_WEIGHTS, citations=False, bold_only=True).where("score >= 0.5")
+    tables = s.document_tables(spark, sf).groupBy("doc_id", "table_id").agg(
+        ((F.max("header_rows") == 0).cast("int") + F.bool_or(F.col("span") > 1).cast("int")).alias("issues"), F.sum((F.col("r") < F.col("header_rows")).cast("int")).alias("th")
+    )
+    return checks.structure_check(paragraphs, candidates, tables.withColumn("tagged", F.col("doc_id") % 4 == 1))
+
+
+PAGE_CHECKS = f"""l AS (WITH {ISSUES} SELECT page_id, count(DISTINCT pos) AS items, (SELECT count(*) FROM issues i WHERE i.page_id = a.page_id) AS issues FROM anchors a GROUP BY 1), alt AS ({ORACLES["e03_alt_check"]}), con AS ({ORACLES["e05_contrast_check"]}), str AS ({ORACLES["e04_structure_check"]}),
+  hd AS (SELECT page_id, regexp_extract_all(html, '<h[1-6]>([^<]*)</h[1-6]>', 1) AS h FROM pages),
+  c AS (SELECT page_id, '2.4.2' AS criterion, CASE WHEN regexp_extract(html, '<title>([^<]*)</title>', 1) <> '' THEN 'pass' ELSE 'fail' END AS status, 1 AS items FROM pages
+  UNION ALL SELECT page_id, '3.1.1', CASE WHEN regexp_extract(html, '<html lang="([^"]*)"', 1) <> '' THEN 'pass' ELSE 'fail' END, 1 FROM pages
+  UNION ALL SELECT page_id, '2.4.4', CASE WHEN items IS NULL THEN 'na' WHEN issues > 0 THEN 'fail' ELSE 'pass' END, coalesce(items, 0) FROM pages LEFT JOIN l USING (page_id)
+  UNION ALL SELECT page_id, '2.4.6', CASE WHEN len(h) = 0 OR len(list_filter(h, lambda x: length(trim(x)) < 2)) > 0 THEN 'warn' ELSE 'pass' END, len(h) FROM hd
+  UNION ALL SELECT page_id, '1.1.1', coalesce(status, 'na'), coalesce(items, 0) FROM pages LEFT JOIN alt ON doc_id = page_id
+  UNION ALL SELECT page_id, '1.4.3', CASE WHEN items IS NULL THEN 'na' WHEN issues > 0 THEN 'fail' ELSE 'pass' END, coalesce(items, 0) FROM pages LEFT JOIN con ON doc_id = page_id
+  UNION ALL SELECT page_id, '1.3.1', coalesce(status, 'pass'), coalesce(items, 0) FROM pages LEFT JOIN str ON doc_id = page_id)"""
+
+
+def all_checks(spark, sf):
+    return checks.document_checks(s.table(spark, sf, "pages"), s.faulty_anchors(spark, sf), s.alts(spark, sf), s.colours(spark, sf), e04(spark, sf))
+
+
+@query("e07_page_checks", f"WITH {PAGE_CHECKS} SELECT page_id, criterion, status, items FROM c")
+def e07(spark, sf):
+    return all_checks(spark, sf).drop("issues")
+
+
+@query("e02_validation_roll_up", f"""WITH {PAGE_CHECKS}, n AS (SELECT page_id, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'fail') AS failed, count(*) FILTER (status = 'warn') AS warnings, count(*) FILTER (status = 'na') AS not_applicable FROM c GROUP BY 1)
+  SELECT *, CASE WHEN failed > 0 THEN 'fail' WHEN warnings > 0 THEN 'warn' ELSE 'pass' END AS status, concat_ws(', ', CASE WHEN failed > 0 THEN failed || ' failed' END, CASE WHEN warnings > 0 THEN warnings || ' warnings' END, CASE WHEN passed > 0 THEN passed || ' passed' END, CASE WHEN not_applicable > 0 THEN not_applicable || ' N/A' END) AS summary FROM n""")
+def e02(spark, sf):
+    return checks.roll_up(all_checks(spark, sf), "page_id")
+
+
 @query("e26_uri_counts", f"WITH {q.FAULTY_ANCHORS} SELECT page_id, count(*) FILTER (url <> '') AS total, count(*) FILTER ({SEVERITY} = 'severe') AS severe FROM faulty_anchors GROUP BY 1")
 def e26(spark, sf):
     return s.faulty_anchors(spark, sf).groupBy("page_id").agg(F.sum((F.col("url") != "").cast("int")).alias("total"), F.sum((text.uri_severity(F.col("url")) == "severe").cast("int")).alias("severe"))

@@ -42,7 +42,7 @@ def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     hex_ = lambda a, b, c: F.format_string("#%02X%02X%02X", *((k * n % 256).cast("int") for n in (a, b, c)))
     bg = F.when(k % 3 == 0, "#FFFFFF").when(k % 3 == 1, "#F5F5F0").otherwise(hex_(7, 11, 13))
     fg = F.when(k % 10 == 0, F.format_string("#%02X%02X%02X", (200 + k % 56).cast("int"), (200 + k * 3 % 56).cast("int"), (k % 100).cast("int"))).otherwise(hex_(37, 91, 53))
-    return table(spark, sf_dir, "customer").select(k.alias("k"), (k % 50).alias("doc_id"), fg.alias("fg"), bg.alias("bg"), (8 + k % 15).cast("double").alias("size"), (k % 3 == 0).alias("bold"))
+    return table(spark, sf_dir, "customer").select(k.alias("k"), F.floor(k / 30).alias("doc_id"), fg.alias("fg"), bg.alias("bg"), (8 + k % 15).cast("double").alias("size"), (k % 3 == 0).alias("bold"))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     fonts = F.when(k % 4 == 0, "ABCDEF+TimesNewRomanPS-BoldMT").when(k % 4 == 1, "TimesNewRomanPSMT").when(k % 4 == 2, "GHIJKL+Century-Italic").otherwise("Arial-BoldItalic")
     return table(spark, sf_dir, "events").select(
-        (k % 40).alias("doc_id"), F.floor(k / 40).alias("pos"), (1 + k * 7 % 90).alias("n_chars"), (5 + k % 9 + (k % 10) / 10.0).alias("size"), (k % 3 == 0).alias("bold"), fonts.alias("font")
+        F.floor(k / 250).alias("doc_id"), (k % 250).alias("pos"), (1 + k * 7 % 90).alias("n_chars"), (5 + k % 9 + (k % 10) / 10.0).alias("size"), (k % 3 == 0).alias("bold"), fonts.alias("font")
     )
 
 
@@ -105,10 +105,25 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, page, pos, x0, y0, x1, y1: text blocks with boxes, from parts."""
+    """doc_id, page, pos, x0, y0, x1, y1, n_chars: text blocks with boxes, from parts; furniture at the top of pages, and a page in seven nearly without text."""
     p = F.col("p_partkey")
     x, y = 40 + p * 13 % 400, 30 + p * 29 % 700
-    return table(spark, sf_dir, "part").select((p % 20).alias("doc_id"), (F.floor(p / 20) % 5).cast("int").alias("page"), F.floor(p / 100).alias("pos"), x.alias("x0"), y.alias("y0"), (x + 60 + p % 90).alias("x1"), (y + 12).alias("y1"), (p % 37).alias("n_chars"))
+    chars = F.when(F.floor(p / 20) % 7 == 3, p % 3).when(y < 80, 40 + p % 2).otherwise(p % 37)
+    return table(spark, sf_dir, "part").select(F.floor(p / 100).alias("doc_id"), (F.floor(p / 20) % 5).cast("int").alias("page"), (p % 20).alias("pos"), x.alias("x0"), y.alias("y0"), (x + 60 + p % 90).alias("x1"), (y + 12).alias("y1"), chars.alias("n_chars"))
+
+
+def outlined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """faulty_lines with bold, size and font; a document in three has levels without a gap and nothing bold."""
+    pos, tidy = F.col("pos"), F.col("doc_id") % 3 == 1
+    level = F.when(tidy & (pos == 0), 1).when(tidy & (pos % 5 == 0), 2 + F.floor(pos / 10) % 2).when(~tidy, F.col("heading_level")).cast("int")
+    size = F.when(pos % 5 == 0, 16.0).when(pos % 7 == 0, 9.0).otherwise(11.0)
+    return faulty_lines(spark, sf_dir).select("doc_id", "pos", "text", level.alias("heading_level"), (~tidy & ((F.col("doc_id") + pos) % 4 == 0)).alias("bold"), size.alias("size"), F.lit("Arial").alias("font"))
+
+
+def document_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cells of the tables of documents: two tables in every second document."""
+    doc = F.floor(F.col("table_id") / 40)
+    return cells(spark, sf_dir).where((doc % 2 == 1) & (F.col("table_id") % 40 < 8)).select(doc.alias("doc_id"), "*")
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:

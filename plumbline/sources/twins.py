@@ -15,7 +15,7 @@ FAULTY_LINES = (
   CASE WHEN pos % 5 = 0 THEN 1 + (doc_id + pos) % 4 END::INT AS heading_level FROM lines)"""
 )
 
-COLOURS = """colours AS (SELECT k, k % 50 AS doc_id,
+COLOURS = """colours AS (SELECT k, k // 30 AS doc_id,
   CASE WHEN k % 10 = 0 THEN printf('#%02X%02X%02X', (200 + k % 56)::INT, (200 + k * 3 % 56)::INT, (k % 100)::INT)
        ELSE printf('#%02X%02X%02X', (k * 37 % 256)::INT, (k * 91 % 256)::INT, (k * 53 % 256)::INT) END AS fg,
   CASE WHEN k % 3 = 0 THEN '#FFFFFF' WHEN k % 3 = 1 THEN '#F5F5F0'
@@ -42,7 +42,7 @@ rated AS (SELECT *, (greatest(lf, lb) + 0.05) / (least(lf, lb) + 0.05) AS ratio,
   {channel('fg', 0)} >= 200 AND {channel('fg', 1)} >= 200 AND {channel('fg', 2)} < 100 AND {channel('bg', 0)} >= 240 AND {channel('bg', 1)} >= 240 AND {channel('bg', 2)} >= 240 AS yellow FROM lum)"""
 )
 
-RUNS = """runs AS (SELECT k % 40 AS doc_id, k // 40 AS pos, 1 + k * 7 % 90 AS n_chars, 5 + k % 9 + (k % 10) / 10.0::DOUBLE AS size, k % 3 = 0 AS bold,
+RUNS = """runs AS (SELECT k // 250 AS doc_id, k % 250 AS pos, 1 + k * 7 % 90 AS n_chars, 5 + k % 9 + (k % 10) / 10.0::DOUBLE AS size, k % 3 = 0 AS bold,
   CASE k % 4 WHEN 0 THEN 'ABCDEF+TimesNewRomanPS-BoldMT' WHEN 1 THEN 'TimesNewRomanPSMT' WHEN 2 THEN 'GHIJKL+Century-Italic' ELSE 'Arial-BoldItalic' END AS font
   FROM (SELECT event_id AS k FROM events))"""
 
@@ -76,8 +76,13 @@ CELLS = """cells AS (SELECT t AS table_id, r, c, CASE WHEN (t + n) % (2 + t % 5)
   CASE WHEN (t + n) % 7 = 0 THEN 2 ELSE 1 END AS span, CASE WHEN t % 2 = 0 THEN 1 ELSE 0 END AS header_rows
   FROM (SELECT o_orderkey AS t, n, (n // 3)::INT AS r, (n % 3)::INT AS c FROM orders, range(12) g(n)) WHERE r < 1 + t % 4 AND c < 1 + t * 7 % 3)"""
 
-BOXES = """boxes AS (SELECT p % 20 AS doc_id, ((p // 20) % 5)::INT AS page, p // 100 AS pos, 40 + p * 13 % 400 AS x0, 30 + p * 29 % 700 AS y0,
-  40 + p * 13 % 400 + 60 + p % 90 AS x1, 30 + p * 29 % 700 + 12 AS y1, p % 37 AS n_chars FROM (SELECT p_partkey AS p FROM part))"""
+BOXES = """boxes AS (SELECT p // 100 AS doc_id, ((p // 20) % 5)::INT AS page, p % 20 AS pos, 40 + p * 13 % 400 AS x0, 30 + p * 29 % 700 AS y0,
+  40 + p * 13 % 400 + 60 + p % 90 AS x1, 30 + p * 29 % 700 + 12 AS y1, CASE WHEN p // 20 % 7 = 3 THEN p % 3 WHEN p * 29 % 700 < 50 THEN 40 + p % 2 ELSE p % 37 END AS n_chars FROM (SELECT p_partkey AS p FROM part))"""
 
 JOBS = """jobs AS (SELECT o_orderkey AS id, o_custkey AS user_id, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'processing' ELSE 'completed' END AS status,
   o_orderdate::DATE AS created_at, o_totalprice::DOUBLE AS cost, 1 + o_orderkey % 30 AS pages, o_orderkey % 200 AS batch_id FROM orders)"""
+
+OUTLINED = (
+    FAULTY_LINES.replace("faulty AS", "raw AS")
+    + """, faulty AS (SELECT doc_id, pos, text, CASE WHEN doc_id % 3 <> 1 THEN heading_level WHEN pos = 0 THEN 1 WHEN pos % 5 = 0 THEN 2 + pos // 10 % 2 END::INT AS heading_level FROM raw)"""
+)
