@@ -1,9 +1,7 @@
-"""Contrast repair: the least change of lightness that reaches the needed ratio."""
+"""Contrast repair: the least change of lightness that reaches the needed ratio, on whole columns at once."""
 
 from __future__ import annotations
 
-import colorsys
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -15,40 +13,57 @@ MARGIN = 0.05
 STEPS = 30
 
 
-def _luminance(rgb: tuple[float, ...]) -> float:
-    r, g, b = (x / 12.92 if x <= 0.03928 else ((x + 0.055) / 1.055) ** 2.4 for x in rgb)
-    return 0.2126 * r + 0.7152 * g + 0.0722 * b
+def channels(colours: pd.Series) -> np.ndarray:
+    """Red, green and blue from 0 to 1, a row for each colour."""
+    return np.array([[int(c[k : k + 2], 16) for k in (1, 3, 5)] for c in colours.str.rjust(7, "#")], float).reshape(-1, 3) / 255
+
+
+def luminance(rgb: np.ndarray) -> np.ndarray:
+    linear = np.where(rgb <= 0.03928, rgb / 12.92, ((rgb + 0.055) / 1.055) ** 2.4)
+    return linear @ np.array([0.2126, 0.7152, 0.0722])
 
 
-def _ratio(a, b) -> float:
-    x, y = sorted((_luminance(a), _luminance(b)))
-    return (y + 0.05) / (x + 0.05)
+def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of luminances."""
+    return (np.maximum(a, b) + 0.05) / (np.minimum(a, b) + 0.05)
 
 
-def darkened(fg: str, bg: str, need: float) -> str:
+def with_lightness(light: np.ndarray, hue: np.ndarray, saturation: np.ndarray) -> np.ndarray:
+    """Each channel is a ramp around its third of the circle of hues."""
+    top = np.where(light <= 0.5, light * (1 + saturation), light + saturation - light * saturation)
+    low = 2 * light - top
+    out = []
+    for turn in (1 / 3, 0.0, -1 / 3):
+        h = (hue + turn) % 1.0
+        out.append(np.where(h < 1 / 6, low + (top - low) * h * 6, np.where(h < 0.5, top, np.where(h < 2 / 3, low + (top - low) * (2 / 3 - h) * 6, low))))
+    return np.where(saturation == 0, light, np.array(out)).T
+
+
+def darkened(fg: pd.Series, bg: pd.Series, need: np.ndarray) -> pd.Series:
     """fg with the highest lightness at which the ratio reaches need plus the margin; fg itself if none does or it already passes."""
-    a, b = (tuple(int(c.lstrip("#")[k : k + 2], 16) / 255 for k in (0, 2, 4)) for c in (fg, bg))
-    if _ratio(a, b) >= need:
-        return fg
-    hue, top, saturation = colorsys.rgb_to_hls(*a)
-    low, best = 0.0, None
+    rgb, ground = channels(fg), luminance(channels(bg))
+    most, least = rgb.max(axis=1), rgb.min(axis=1)
+    span, top = most - least, (most + least) / 2
+    some = np.where(span == 0, 1.0, span)
+    saturation = np.where(span == 0, 0.0, span / np.where(top <= 0.5, np.maximum(most + least, 1e-300), np.where(span == 0, 1.0, 2 - most - least)))
+    r, g, b = rgb.T
+    hue = np.where(span == 0, 0.0, np.where(r == most, (g - b) / some, np.where(g == most, 2 + (b - r) / some, 4 + (r - g) / some)) / 6 % 1.0)
+    low, best = np.zeros(len(top)), np.full(len(top), np.nan)
     for _ in range(STEPS):
         mid = (low + top) / 2
-        rgb = colorsys.hls_to_rgb(hue, mid, saturation)
-        if _ratio(rgb, b) >= need + MARGIN:
-            best, low = rgb, mid
-        else:
-            top = mid
-    return fg if best is None else "#" + "".join(f"{int(np.rint(x * 255)):02X}" for x in best)
+        good = ratio(luminance(with_lightness(mid, hue, saturation)), ground) >= need + MARGIN
+        low, top, best = np.where(good, mid, low), np.where(good, top, mid), np.where(good, mid, best)
+    stays = (ratio(luminance(rgb), ground) >= need) | np.isnan(best)
+    codes = np.rint(with_lightness(np.nan_to_num(best), hue, saturation) * 255).astype(int)
+    return fg.where(stays, ["#%02X%02X%02X" % tuple(c) for c in codes])
 
 
 def repaired(fg: str, bg: str, size: str, bold: str) -> Column:
-    """Column of repaired foregrounds; meant for distinct pairs of colours."""
-
+    """Column of repaired foregrounds."""
     ship(SparkSession.active())
 
     @F.pandas_udf("string")
     def run(f: pd.Series, b: pd.Series, s: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([darkened(x, y, 3.0 if z >= (14 if w else 18) else 4.5) for x, y, z, w in zip(f, b, s, k, strict=True)])
+        return darkened(f, b, np.where(s >= np.where(k, 14, 18), 3.0, 4.5))
 
     return run(F.col(fg), F.col(bg), F.col(size), F.col(bold))

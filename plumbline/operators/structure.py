@@ -16,6 +16,23 @@ def before(c: Column, w) -> Column:
     return F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
+def depths(tree: DataFrame, written) -> DataFrame:
+    """tree (id, parent, doc_id) with depth, 0 at the roots: each round doubles how far up an element looks, so a tree d levels deep takes log d of them.
+
+    written stores a round's rows and gives them back. Elements on a cycle, or under a parent that isn't there, have no depth and are left out.
+    """
+    p = tree.select("id", "doc_id", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    left = None
+    while True:
+        p = written(p)
+        open_ = p.where("up is not null").count()
+        if not open_ or open_ == left:
+            return p.where("up is null").drop("up")
+        left = open_
+        above = p.select(F.col("id").alias("up"), F.col("up").alias("_next"), F.col("depth").alias("_more"))
+        p = p.join(above, "up", "left").select("id", "doc_id", F.when(F.col("_more").isNull(), F.col("up")).otherwise(F.col("_next")).alias("up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"))
+
+
 def heading_issues(paragraphs: DataFrame) -> DataFrame:
     """doc_id, pos, issue, suggested of paragraphs (doc_id, pos, heading_level): no first level, several, skipped levels."""
     w = along("pos")

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import latex, text
+from plumbline.functions.repair import repaired
 from plumbline.operators import checks, structure
 from plumbline.plans import actions
 from plumbline.queries.ledger import PLAN, J, judged, link_actions, page_plan
-from plumbline.registry import query
+from plumbline.queries.scalar import LIST_TYPE
+from plumbline.queries.structure import OFFICE_WEIGHTS, all_checks, styled
+from plumbline.registry import ORACLES, query
 from plumbline.shipping import ship
 from plumbline.sources import tables as s
 from plumbline.sources import twins as q
@@ -23,7 +26,12 @@ SYMBOLS = (("\\forall", "∀"), ("\\exists", "∃"), ("\\neg", "¬"), ("\\land",
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: on a cluster it has to name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="plumbline-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -39,9 +47,8 @@ def written(df: DataFrame, kind: str) -> DataFrame:
 def a15(spark, sf):
     k = F.col("event_id")
     tree = s.table(spark, sf, "events").select(k.alias("id"), F.when(k % 50 > 0, k - 1 - k % 3 * (k % 50 > 3).cast("int")).alias("parent"), F.floor(k / 50).alias("doc_id"))
-    tree.createOrReplaceTempView("plumbline_tree")
-    walked = spark.sql("WITH RECURSIVE w(id, doc_id, depth) MAX RECURSION LEVEL 200 AS (SELECT id, doc_id, 0L FROM plumbline_tree WHERE parent IS NULL UNION ALL SELECT t.id, t.doc_id, w.depth + 1 FROM plumbline_tree t JOIN w ON t.parent = w.id) SELECT * FROM w")
-    return walked.groupBy("doc_id").agg(F.count("*").alias("elements"), F.max("depth").alias("depth"))
+    deep = structure.depths(tree, lambda df: written(df, "parquet"))
+    return deep.groupBy("doc_id").agg(F.count("*").alias("elements"), F.max("depth").alias("depth"))
 
 
 @query("a20_table_copy", f"{J} SELECT id, user_id, status FROM jobs")
@@ -57,12 +64,20 @@ def pages_html(spark, sf):
     return p.groupBy("doc_id").agg(F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
 
 
-@query("a23_html_sink", "SELECT count(*) AS files FROM documents WHERE trim(text) <> ''")
+def escaped_sql(c: str) -> str:
+    for x, y in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        c = f"replace({c}, '{x}', '{y}')"
+    return c
+
+
+@query("a23_html_sink", f"""WITH {q.FAULTY_LINES} SELECT '<html><body>' || string_agg(CASE WHEN heading_level IS NULL THEN '<p>' || t || '</p>' ELSE '<h' || heading_level || '>' || t || '</h' || heading_level || '>' END, '' ORDER BY pos) || '</body></html>' AS html
+  FROM (SELECT doc_id, pos, heading_level, {escaped_sql('text')} AS t FROM faulty WHERE trim(text) <> '') GROUP BY doc_id""")
 def a23(spark, sf):
-    return written(pages_html(spark, sf).select(F.col("html").alias("value")), "text").agg(F.count("*").alias("files"))
+    return written(pages_html(spark, sf).select(F.col("html").alias("value")), "text").withColumnRenamed("value", "html")
 
 
-@query("a25_inline_render")
+@query("a25_inline_render", f"""WITH {q.RUNS}, t AS (SELECT doc_id, pos, pos // 6 AS paragraph, '<span style="font-size: ' || size || 'pt">' || CASE WHEN bold THEN '<strong>run ' || pos || ' &lt;b&gt;</strong>' ELSE 'run ' || pos || ' &lt;b&gt;' END || '</span>' AS h FROM runs),
+  g AS (SELECT doc_id, paragraph, string_agg(h, '' ORDER BY pos) AS html, min(pos) AS first FROM t GROUP BY ALL) SELECT doc_id, paragraph, regexp_replace(html, '^(.*?)(run ' || first || ')', '\\1<a href="#">\\2</a>') AS html FROM g""")
 def a25(spark, sf):
     run = s.runs(spark, sf).withColumn("text", F.concat(F.lit("run "), F.col("pos").cast("string"), F.lit(" <b>")))
     t = text.escape_html(F.col("text"))
@@ -74,12 +89,12 @@ def a25(spark, sf):
     return g.select("doc_id", "paragraph", F.regexp_replace("html", F.concat(F.lit("^(.*?)("), link, F.lit(")")), F.concat(F.lit('$1<a href="#">$2</a>'))).alias("html"))
 
 
-@query("a28_report_sink", f"WITH {q.LINES} SELECT count(*) AS rows FROM (VALUES ('passed'), ('failed'), ('warnings'), ('not_applicable'))")
+@query("a28_report_sink", f"WITH r AS ({ORACLES['e02_validation_roll_up']}) " + " UNION ALL ".join(f"SELECT '<tr><td>{c}</td><td>' || sum({c}) || '</td></tr>' AS value FROM r" for c in ("passed", "failed", "warnings", "not_applicable")))
 def a28(spark, sf):
-    r = checks.roll_up(checks.page_checks(s.table(spark, sf, "pages"), s.faulty_anchors(spark, sf)), "page_id")
+    r = checks.roll_up(all_checks(spark, sf), "page_id")
     totals = r.agg(*(F.sum(c).alias(c) for c in ("passed", "failed", "warnings", "not_applicable")))
     rows = totals.select(F.explode(F.array(*(F.concat(F.lit(f"<tr><td>{c}</td><td>"), F.col(c).cast("string"), F.lit("</td></tr>")) for c in totals.columns))).alias("value"))
-    return written(rows, "text").agg(F.count("*").alias("rows"))
+    return written(rows, "text")
 
 
 @query("a33_json_sink", f"{J} SELECT id, status, pages FROM jobs")
@@ -88,16 +103,14 @@ def a33(spark, sf):
     return written(nested, "json").select("id", "result.status", "result.pages")
 
 
-@query("a35_benchmark_report", "SELECT count(*) AS lines FROM (SELECT DISTINCT lang FROM labels JOIN documents USING (doc_id) UNION ALL SELECT '(all)')")
+@query("a35_benchmark_report", f"SELECT printf('| %s | %d/%d | %.2f%% |', task, correct, n, accuracy * 100) AS value FROM ({ORACLES['e22_accuracy']})")
 def a35(spark, sf):
     lines = checks.accuracy(judged(spark, sf)).select(F.format_string("| %s | %d/%d | %.2f%% |", "task", "correct", "n", F.col("accuracy") * 100).alias("value"))
-    return written(lines, "text").agg(F.count("*").alias("lines"))
+    return written(lines, "text")
 
 
-@query("b06_lightness_bisection")
+@query("b06_lightness_bisection", f"WITH {q.COLOURS}, pairs AS (SELECT DISTINCT fg, '#FFFFFF' AS bg, 11.0::DOUBLE AS size, false AS bold FROM colours), {q.REPAIRED} SELECT fg, fixed FROM repaired")
 def b06(spark, sf):
-    from plumbline.functions.repair import repaired
-
     pairs = s.colours(spark, sf).select("fg", F.lit("#FFFFFF").alias("bg"), F.lit(11.0).alias("size"), F.lit(False).alias("bold")).distinct()
     return pairs.select("fg", repaired("fg", "bg", "size", "bold").alias("fixed"))
 
@@ -141,7 +154,10 @@ def b33(spark, sf):
     return rows.select("k", F.when(latex.is_pseudocode(F.col("source")), run("source")).alias("code"))
 
 
-@query("b43_surrounding_text")
+@query("b43_surrounding_text", f"""WITH {q.LINES}, c AS (SELECT doc_id, pos, text, length(text) AS n, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM lines),
+  b AS (SELECT a.doc_id, a.pos, string_agg(right(x.text, (100 - (a.upto - a.n - x.upto))::BIGINT), ' ' ORDER BY x.pos) AS t FROM c a JOIN c x ON x.doc_id = a.doc_id AND x.pos < a.pos AND a.upto - a.n - x.upto < 100 GROUP BY ALL),
+  f AS (SELECT a.doc_id, a.pos, string_agg(left(x.text, (100 - (x.upto - x.n - a.upto))::BIGINT), ' ' ORDER BY x.pos) AS t FROM c a JOIN c x ON x.doc_id = a.doc_id AND x.pos > a.pos AND x.upto - x.n - a.upto < 100 GROUP BY ALL)
+  SELECT doc_id, pos, concat_ws(' [...] ', nullif({q.STRIP.format("b.t")}, ''), nullif({q.STRIP.format("f.t")}, '')) AS around FROM lines LEFT JOIN b USING (doc_id, pos) LEFT JOIN f USING (doc_id, pos)""")
 def b43(spark, sf):
     """About 100 characters on each side. Lines have at least one character, so 100 of them always are enough."""
     w = structure.along("pos")
@@ -186,7 +202,13 @@ def match_headings(pages: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["doc_id", "page", "tag", "pos", "score"])
 
 
-@query("d16_heading_match")
+@query("d16_heading_match", f"""WITH {q.LINES}, p AS (SELECT doc_id, pos // 5 AS page, pos, text, list_distinct(regexp_split_to_array(lower(text), '\\s+')) AS w FROM lines),
+  t AS (SELECT doc_id, page, pos AS tag, array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ') AS tt FROM p WHERE (doc_id + pos) % 3 = 0),
+  x AS (SELECT p.doc_id, p.page, p.pos, tag, CASE WHEN contains(text, tt) OR contains(tt, text) THEN 1.0::DOUBLE ELSE len(list_intersect(w, list_distinct(regexp_split_to_array(lower(tt), '\\s+'))))::DOUBLE / greatest(len(w), len(list_distinct(regexp_split_to_array(lower(tt), '\\s+')))) * 0.8 END AS score,
+    dense_rank() OVER (PARTITION BY p.doc_id, p.page ORDER BY tag) AS nth FROM p JOIN t USING (doc_id, page)),
+  one AS (SELECT doc_id, page, tag, pos, score FROM x WHERE nth = 1 AND score > 0.1 QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY score DESC, pos) = 1),
+  two AS (SELECT x.doc_id, x.page, x.tag, x.pos, x.score FROM x LEFT JOIN one ON one.doc_id = x.doc_id AND one.page = x.page AND one.pos = x.pos WHERE nth = 2 AND x.score > 0.1 AND one.pos IS NULL QUALIFY row_number() OVER (PARTITION BY x.doc_id, x.page ORDER BY x.score DESC, x.pos) = 1)
+  SELECT * FROM one UNION ALL SELECT * FROM two""")
 def d16(spark, sf):
     """Heading tags hold the first words of some lines; a page is five lines, so a page's pairs are 25 at most."""
     ship(spark)
@@ -211,12 +233,12 @@ def e37(spark, sf):
     return g.select("page", F.when(orphans > 0.2, "rebuild").when(F.col("content") >= 20, "preserve").when(coverage < 0.5, "rebuild").otherwise("preserve").alias("decision"))
 
 
-@query("f05_heading_score_slides")
+@query("f05_heading_score_slides", f"""WITH {q.FAULTY_LINES}, z AS ({ORACLES['f04_heading_score_office']}) SELECT doc_id, pos, CASE WHEN pos % 4 < 3 AND heading_level IS NULL AND {LIST_TYPE} IS NULL THEN score END AS score FROM z JOIN faulty USING (doc_id, pos)""")
 def f05(spark, sf):
-    from plumbline.queries.structure import OFFICE_WEIGHTS, styled
-
-    body = styled(spark, sf).where("pos % 10 < 3")
-    return structure.fake_heading_scores(body, OFFICE_WEIGHTS, citations=False, bold_only=True)
+    """Scores of paragraphs in body style that are neither headings nor list items; a shape in four has a title's style."""
+    p = styled(spark, sf)
+    body = s.faulty_lines(spark, sf).select("doc_id", "pos", ((F.col("pos") % 4 < 3) & F.col("heading_level").isNull() & text.list_type(F.col("text")).isNull()).alias("body"))
+    return structure.fake_heading_scores(p, OFFICE_WEIGHTS, citations=False, bold_only=True).join(body, ["doc_id", "pos"]).select("doc_id", "pos", F.when(F.col("body"), F.col("score")).alias("score"))
 
 
 def keep_tables(group: pd.DataFrame) -> pd.DataFrame:
@@ -232,11 +254,16 @@ def keep_tables(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["doc_id", "table_id"])
 
 
-@query("h02_table_dedup")
+@query("h02_table_dedup", f"""WITH RECURSIVE {q.CELLS}, t AS (SELECT doc_id, table_id, cells, row_number() OVER (PARTITION BY doc_id ORDER BY table_id) AS n FROM (SELECT table_id // 200 AS doc_id, table_id, coalesce(list_distinct(list(CASE WHEN trim(text) <> '' THEN lower(trim(text)) END)), []) AS cells FROM cells GROUP BY ALL)),
+  w AS (SELECT doc_id, 0::BIGINT AS n, NULL::BIGINT AS table_id, false AS stays, []::VARCHAR[][] AS kept FROM (SELECT DISTINCT doc_id FROM t)
+    UNION ALL SELECT doc_id, n, table_id, stays, CASE WHEN stays AND len(cells) > 0 THEN list_append(kept, cells) ELSE kept END FROM (SELECT w.doc_id, t.n, t.table_id, t.cells, w.kept,
+      len(cells) = 0 OR len(list_filter(w.kept, lambda x: len(list_intersect(x, t.cells)) >= 0.8 * greatest(len(x), len(t.cells)))) = 0 AS stays FROM w JOIN t ON t.doc_id = w.doc_id AND t.n = w.n + 1))
+  SELECT doc_id, table_id FROM w WHERE stays""")
 def h02(spark, sf):
+    """Tables of one document are held against those that stay, as the rule has it; what one task holds is a document's tables."""
     ship(spark)
-    cells = s.cells(spark, sf).where("table_id % 4 <> 3").withColumn("low", F.lower(text.strip(F.col("text"))))
-    t = cells.groupBy((F.col("table_id") % 997).alias("doc_id"), "table_id").agg(F.collect_set(F.when(F.col("low") != "", F.col("low"))).alias("cells"))
+    cells = s.cells(spark, sf).withColumn("low", F.lower(text.strip(F.col("text"))))
+    t = cells.groupBy(F.floor(F.col("table_id") / 200).alias("doc_id"), "table_id").agg(F.collect_set(F.when(F.col("low") != "", F.col("low"))).alias("cells"))
     return t.groupBy("doc_id").applyInPandas(keep_tables, "doc_id long, table_id long")
 
 
@@ -252,13 +279,10 @@ def j01(spark, sf):
     return actions.outcome(page_plan(spark, sf), known).where("status = 'executed'").groupBy("doc_id").agg(F.count("*").alias("executed"))
 
 
-@query("j05_bulk_contrast")
+@query("j05_bulk_contrast", f"WITH {q.COLOURS}, pairs AS (SELECT DISTINCT fg, bg, size, bold FROM colours), {q.REPAIRED} SELECT doc_id, count(*) AS runs, count(*) FILTER (fixed <> fg) AS changed FROM colours JOIN repaired USING (fg, bg, size, bold) GROUP BY 1")
 def j05(spark, sf):
-    from plumbline.functions.repair import repaired
-
     runs = s.colours(spark, sf)
-    fixed = runs.select("fg", "bg", "size", "bold").distinct().withColumn("fixed", repaired("fg", "bg", "size", "bold"))
-    out = runs.join(fixed, ["fg", "bg", "size", "bold"])
+    out = runs.withColumn("fixed", repaired("fg", "bg", "size", "bold"))
     return out.groupBy("doc_id").agg(F.count("*").alias("runs"), F.sum((F.col("fixed") != F.col("fg")).cast("int")).alias("changed"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.repair import repaired
 from plumbline.functions import text
 from plumbline.operators import checks, ledger
 from plumbline.plans import actions
@@ -329,7 +330,7 @@ def grouped_report(spark, sf):
     line = F.when(pos % 4 == 0, F.concat(F.lit("[FAIL] "), F.floor(pos / 4 % 3).cast("string"))).when(pos % 4 == 3, "note").otherwise(F.concat(F.lit("- detail "), pos.cast("string")))
     r = s.lines(spark, sf).select("doc_id", "pos", line.alias("line"))
     header = F.last(F.when(F.col("line").rlike(r"^\[(FAIL|WARN)\]"), F.col("line")), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("pos"))
-    return r.withColumn("header", header).where("line like '- %' and header is not null").select("doc_id", "header", "pos", F.substring("line", 3, 1000).alias("detail"))
+    return r.withColumn("header", header).where("line like '- %' and header is not null").select("doc_id", "header", "pos", F.expr("substring(line, 3)").alias("detail"))
 
 
 GROUPED = f"{REPORT}, g AS (SELECT doc_id, pos, substr(line, 3) AS detail, last_value(CASE WHEN starts_with(line, '[') THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS header, line FROM r)"
@@ -423,7 +424,11 @@ def j06(spark, sf):
     return g.select("page_id", "before", "after", F.greatest(F.col("before") - F.col("after"), F.lit(0)).alias("fixed"))
 
 
-@query("k01_rate_limiter")
+@query("k01_rate_limiter", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts::TIMESTAMP)::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts::TIMESTAMP), event_id) AS n FROM events),
+  w AS (SELECT user_id, NULL::BIGINT AS event_id, 0::BIGINT AS n, []::DOUBLE[] AS kept, true AS allowed, 0::BIGINT AS retry FROM (SELECT DISTINCT user_id FROM events)
+    UNION ALL SELECT user_id, event_id, n, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, len(live) < 3, CASE WHEN len(live) < 3 THEN 0 ELSE greatest(trunc(live[1] - (t - 36000.0))::BIGINT + 1, 1) END
+      FROM (SELECT w.user_id, e.event_id, e.n, e.t, list_filter(w.kept, lambda x: x > e.t - 36000.0) AS live FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+  SELECT user_id, event_id, allowed, retry FROM w WHERE n > 0""")
 def k01(spark, sf):
     e = s.table(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
     return ledger.rate_limit(e, 3, 36_000.0)
@@ -469,7 +474,10 @@ def l03(spark, sf):
     return s.jobs(spark, sf).join(gone, "id", "left_anti").select("id")
 
 
-@query("l05_deduct_pages")
+@query("l05_deduct_pages", f"""WITH RECURSIVE {J.removeprefix('WITH ')}, o AS (SELECT user_id, id, pages, row_number() OVER (PARTITION BY user_id ORDER BY id) AS n FROM jobs),
+  w AS (SELECT user_id, NULL::BIGINT AS seq, 0::BIGINT AS n, true AS granted, 100::BIGINT AS balance FROM (SELECT DISTINCT user_id FROM jobs)
+    UNION ALL SELECT w.user_id, o.id, o.n, o.pages <= w.balance, w.balance - CASE WHEN o.pages <= w.balance THEN o.pages ELSE 0 END FROM w JOIN o ON o.user_id = w.user_id AND o.n = w.n + 1)
+  SELECT user_id, seq, granted, balance FROM w WHERE n > 0""")
 def l05(spark, sf):
     jobs = s.jobs(spark, sf)
     return ledger.deduct(jobs.select("user_id", F.col("id").alias("seq"), "pages", F.lit(100).cast("long").alias("start")))
@@ -509,7 +517,7 @@ def a17(spark, sf):
     return s.table(spark, sf, "events").select("event_id", F.posexplode(failed).alias("n", "x")).select("event_id", "x.rule", F.col("n").cast("long").alias("n"))
 
 
-@query("a18_lenient_json")
+@query("a18_lenient_json", "SELECT event_id, len(json_keys(props::JSON))::INT AS n_keys, array_to_string(list_transform(list_sort(json_keys(props::JSON)), lambda k: k || '=' || json_extract_string(props::JSON, '$.' || k)), ';') AS pairs FROM events")
 def a18(spark, sf):
     k = F.col("event_id")
     raw = F.when(k % 4 == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(k % 4 == 1, F.regexp_replace("props", r"\}$", ",}")).when(k % 4 == 2, F.regexp_replace("props", '"', "'")).otherwise(F.concat(F.lit("Here: "), F.col("props"), F.lit(" done")))
@@ -520,13 +528,13 @@ def a18(spark, sf):
     schema = "map<string, string>"
     ok = lambda c: F.try_parse_json(c).isNotNull()
     best = F.when(ok(raw), raw).when(ok(fences), fences).when(ok(commas), commas).when(ok(quotes), quotes).otherwise(inner)
-    return s.table(spark, sf, "events").select("event_id", F.size(F.map_keys(F.from_json(best, schema))).alias("n_keys"))
+    found = s.table(spark, sf, "events").select("event_id", F.from_json(best, schema).alias("m"))
+    pairs = F.array_join(F.transform(F.sort_array(F.map_keys("m")), lambda k: F.concat(k, F.lit("="), F.element_at("m", k))), ";")
+    return found.select("event_id", F.size("m").alias("n_keys"), pairs.alias("pairs"))
 
 
-@query("b05_contrast_repair")
+@query("b05_contrast_repair", f"WITH {q.COLOURS}, pairs AS (SELECT DISTINCT fg, bg, size, bold FROM colours), {q.REPAIRED} SELECT fg, bg, size, bold, fixed FROM repaired")
 def b05(spark, sf):
-    from plumbline.functions.repair import repaired
-
     pairs = s.colours(spark, sf).select("fg", "bg", "size", "bold").distinct()
     return pairs.withColumn("fixed", repaired("fg", "bg", "size", "bold"))
 

@@ -86,3 +86,26 @@ OUTLINED = (
     FAULTY_LINES.replace("faulty AS", "raw AS")
     + """, faulty AS (SELECT doc_id, pos, text, CASE WHEN doc_id % 3 <> 1 THEN heading_level WHEN pos = 0 THEN 1 WHEN pos % 5 = 0 THEN 2 + pos // 10 % 2 END::INT AS heading_level FROM raw)"""
 )
+
+
+def _with_lightness(light: str, turn: str) -> str:
+    top = f"(CASE WHEN {light} <= 0.5 THEN {light} * (1 + s) ELSE {light} + s - {light} * s END)"
+    low, h = f"(2 * {light} - {top})", f"((hue + {turn}) - floor(hue + {turn}))"
+    return f"(CASE WHEN s = 0 THEN {light} WHEN {h} < 1.0::DOUBLE / 6 THEN {low} + ({top} - {low}) * {h} * 6 WHEN {h} < 0.5 THEN {top} WHEN {h} < 2.0::DOUBLE / 3 THEN {low} + ({top} - {low}) * (2.0::DOUBLE / 3 - {h}) * 6 ELSE {low} END)"
+
+
+_TURNS = ("1.0::DOUBLE / 3", "0.0::DOUBLE", "-1.0::DOUBLE / 3")
+_LINEAR = "(CASE WHEN {0} <= 0.03928 THEN {0} / 12.92 ELSE pow(({0} + 0.055) / 1.055, 2.4) END)"
+
+#: Of a table pairs (fg, bg, size, bold): fixed, by thirty halvings of the lightness.
+REPAIRED = f"""ch AS (SELECT *, {channel('fg', 0)} / 255.0::DOUBLE AS r, {channel('fg', 1)} / 255.0::DOUBLE AS g, {channel('fg', 2)} / 255.0::DOUBLE AS b, {luminance('fg')} AS lf, {luminance('bg')} AS ground, CASE WHEN size >= CASE WHEN bold THEN 14 ELSE 18 END THEN 3.0 ELSE 4.5 END::DOUBLE AS need FROM pairs),
+  hl AS (SELECT *, greatest(r, g, b) AS mx, least(r, g, b) AS mn FROM ch),
+  hls AS (SELECT *, (mx + mn) / 2 AS light, CASE WHEN mx = mn THEN 0 ELSE (mx - mn) / CASE WHEN (mx + mn) / 2 <= 0.5 THEN mx + mn ELSE 2 - mx - mn END END AS s,
+    CASE WHEN mx = mn THEN 0 ELSE (CASE WHEN r = mx THEN (g - b) / (mx - mn) WHEN g = mx THEN 2 + (b - r) / (mx - mn) ELSE 4 + (r - g) / (mx - mn) END) / 6 END AS hue FROM hl),
+  steps AS (WITH RECURSIVE st AS (SELECT fg, bg, size, bold, hue, s, ground, need, 0 AS k, 0.0::DOUBLE AS low, light AS top, NULL::DOUBLE AS best FROM hls
+    UNION ALL SELECT fg, bg, size, bold, hue, s, ground, need, k + 1, CASE WHEN good THEN mid ELSE low END, CASE WHEN good THEN top ELSE mid END, CASE WHEN good THEN mid ELSE best END FROM (
+      SELECT *, (greatest(own, ground) + 0.05) / (least(own, ground) + 0.05) >= need + 0.05 AS good FROM (SELECT *, 0.2126 * {_LINEAR.format('cr')} + 0.7152 * {_LINEAR.format('cg')} + 0.0722 * {_LINEAR.format('cb')} AS own FROM (
+        SELECT *, {_with_lightness('mid', _TURNS[0])} AS cr, {_with_lightness('mid', _TURNS[1])} AS cg, {_with_lightness('mid', _TURNS[2])} AS cb FROM (SELECT *, (low + top) / 2 AS mid FROM st WHERE k < 30))))) SELECT * FROM st WHERE k = 30),
+  repaired AS (SELECT fg, bg, size, bold, CASE WHEN (greatest(lf, ground) + 0.05) / (least(lf, ground) + 0.05) >= need OR best IS NULL THEN fg
+    ELSE printf('#%02X%02X%02X', round_even({_with_lightness('best', _TURNS[0])} * 255, 0)::INT, round_even({_with_lightness('best', _TURNS[1])} * 255, 0)::INT, round_even({_with_lightness('best', _TURNS[2])} * 255, 0)::INT) END AS fixed
+    FROM hls JOIN (SELECT fg, bg, size, bold, best FROM steps) USING (fg, bg, size, bold))"""
