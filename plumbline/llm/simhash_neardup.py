@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch, components, map_arrow, unsigned_hex, with_row_id
@@ -36,6 +36,10 @@ BLOCKS = 6
 STAGE_SHINGLE = 5
 SIMILARITY = 0.8
 SAMPLE = 2000
+FREQUENT = 100_000  # of the sample's shingles, the most frequent ones: which they are bears on the order only, not on what is found
+BITS = 4096
+STEP_KEYS = 200_000  # that Python holds at once
+PART = 500  # members of a group that are held against each other in one part
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -226,66 +230,125 @@ def _sets(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, rows, "id bigint, h binary")
 
 
-def _prefixes(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(key, id): the first shingles of each set, as many as two alike sets can't both do without.
+def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(key, id, n): the first shingles of each text of n different ones, as many as two alike sets can't both do without.
 
     Sets of n and m shingles with similarity SIMILARITY have 0.8 n in common at least; so if all are put into one order, the first
     n - 0.8 n + 1 of one and of the other have one in common. Any one order serves; shingles known as frequent come last.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of() -> pa.RecordBatch:
+            lengths = [len(k) for k in keys]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], names=["key", "id", "n"])
+
+        keys, ids, sizes, held = [], [], [], 0
         for batch in batches:
-            keys, ids = [], []
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = np.frombuffer(raw, np.uint64)
-                h = h[np.argsort(np.isin(h, frequent), kind="stable")][: len(h) - int(np.ceil(SIMILARITY * len(h) - 1e-9)) + 1]
-                keys.append(h.view(np.int64))
-                ids.append(np.full(len(h), k, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["key", "id"])
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = shingle_hashes(text.as_py())
+                first = h[np.argsort(np.isin(h, frequent), kind="stable")][: len(h) - int(np.ceil(SIMILARITY * len(h) - 1e-9)) + 1]
+                keys.append(first)
+                ids.append(k)
+                sizes.append(len(h))
+                held += len(first)
+                if held > STEP_KEYS:
+                    yield batch_of()
+                    keys, ids, sizes, held = [], [], [], 0
+        if keys:
+            yield batch_of()
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(rows, "key bigint, id bigint, n int")
+
+
+def _bits(docs: DataFrame) -> DataFrame:
+    """(id, text) to id, n (different shingles) and bits: of BITS bits those that a shingle's hash falls on."""
 
-    ship(sets.sparkSession)
-    return sets.mapInArrow(rows, "key bigint, id bigint")
+    def rows(batch: pa.RecordBatch) -> dict:
+        sets = [shingle_hashes(x) for x in batch.column(1).to_pylist()]
+        return {"id": batch.column(0), "n": [len(h) for h in sets], "bits": [np.packbits(np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) > 0).tobytes() for h in sets]}
 
+    return map_arrow(docs, rows, "id bigint, n int, bits binary")
 
-def _alike_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have a Jaccard similarity of SIMILARITY or more."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _alike(scratch: Scratch, pairs: DataFrame, docs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have a Jaccard similarity of SIMILARITY or more.
+
+    A bit that one set has and the other hasn't stands for a shingle that isn't shared, which rules most pairs out; the others' sets are compared.
+    """
+
+    def within(both: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return both >= SIMILARITY * (n + m - both) - 1e-9
+
+    def chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n, m = (batch.column(k).to_numpy().astype(float) for k in (2, 3))
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
+                left, right = (np.bitwise_count(p & ~q).sum(axis=1) for p, q in ((x, y), (y, x)))
+                good = within(np.minimum(n - left, m - right), n, m)
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["a", "b"])
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9)
+                good.append(bool(within(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("h").alias(f"{c}_h"))
-    sizes = F.length("a_h") >= SIMILARITY * F.length("b_h") - 1e-6, F.length("b_h") >= SIMILARITY * F.length("a_h") - 1e-6
-    met = pairs.join(side("a"), "a").join(side("b"), "b").where(sizes[0] & sizes[1])
-    return met.select("a", "b", "a_h", "b_h").mapInArrow(rows, "a bigint, b bigint")
+    side = lambda t, c: t.withColumnsRenamed({k: c if k == "id" else f"{c}_{k}" for k in t.columns})
+    met = pairs.join(side(bits, "a"), "a").join(side(bits, "b"), "b").select("a", "b", "a_n", "b_n", "a_bits", "b_bits")
+    near = scratch.write(met.mapInArrow(chances, "a bigint, b bigint"))
+    ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+    sets = scratch.write(_sets(docs.join(ids, "id", "left_semi")))
+    number = scratch.count
+    out = scratch.write(near.join(side(sets, "a"), "a").join(side(sets, "b"), "b").select("a", "b", "a_h", "b_h").mapInArrow(same, "a bigint, b bigint"))
+    scratch.drop(number)
+    return out
 
 
 def alike_links(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """Links (a, b) that join any two of the texts (id, text) whose shingles have a Jaccard similarity of SIMILARITY or more.
 
-    All members of a key's group are held against its least one first; then those of one group that aren't in one component yet
-    against each other, each with each.
+    Each text is held against the first of a key's group that it shares most keys with; then those of one group that aren't in one component
+    yet against the group's first; then what is still apart each with each, dealt out in parts. Pairs within a component can add nothing.
     """
-    sets = scratch.write(_sets(docs))
-    sample = [np.frombuffer(r.h, np.uint64) for r in sets.select("h").limit(SAMPLE).toLocalIterator()]
-    values, counts = np.unique(np.concatenate(sample), return_counts=True) if sample else (np.zeros(0, np.uint64), np.zeros(0, int))
-    dealt = _prefixes(sets, values[counts > 2])
-    whole = Window.partitionBy("key")
-    dealt = dealt.withColumn("head", F.min("id").over(whole)).withColumn("most", F.max("id").over(whole))
-    members = scratch.write(dealt.where("head < most").select("key", "id", "head"))
-    stars = scratch.write(_alike_sets(members.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), sets))
-    roots = components(scratch, stars).toDF("id", "root")
-    rooted = scratch.write(members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
-    apart = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
-    rooted = scratch.write(rooted.join(apart, "key", "left_semi"))
-    rest = rooted.toDF("key", "a", "_ra").join(rooted.toDF("key", "b", "_rb"), "key").where("a < b and _ra <> _rb").select("a", "b").distinct()
-    return stars.union(scratch.write(_alike_sets(rest, sets)))
+
+    def known(batch: pa.RecordBatch) -> dict:
+        return {"h": [shingle_hashes(x).view(np.int64).tolist() for x in batch.column(1).to_pylist()]}
+
+    share = max(1, docs.count() // SAMPLE)
+    sample = map_arrow(docs.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0), known, "h array<bigint>").select(F.explode("h").alias("h")).groupBy("h").count().where("count > 2")
+    frequent = np.array([r.h for r in sample.orderBy(F.desc("count"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64)
+    dealt = scratch.write(_prefixes(docs, frequent))
+    groups = dealt.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("most"), F.min_by("n", "id").alias("head_n")).where("head < most").drop("most")
+    members = scratch.write(dealt.join(groups, "key"))
+    bits = scratch.write(_bits(docs.join(members.select("id").distinct(), "id", "left_semi")))
+
+    def fits(n: str, m: str) -> Column:
+        return (F.col(n) >= SIMILARITY * F.col(m) - 1e-6) & (F.col(m) >= SIMILARITY * F.col(n) - 1e-6)
+
+    heads = members.where((F.col("id") != F.col("head")) & fits("n", "head_n")).groupBy("id", "head").agg(F.count("*").alias("shared"))
+    heads = scratch.write(heads)
+    best = heads.groupBy("id").agg(F.max_by("head", F.struct("shared", -F.col("head"))).alias("b")).withColumnRenamed("id", "a")
+    links = _alike(scratch, best, docs, bits)
+    roots = components(scratch, links).toDF("id", "root")
+
+    def rooted(rows: DataFrame, c: str, root: str) -> DataFrame:
+        return rows.join(roots.toDF(c, root), c, "left").withColumn(root, F.coalesce(root, c))
+
+    others = rooted(rooted(heads.select(F.col("id").alias("a"), F.col("head").alias("b")), "a", "_ra"), "b", "_rb").where("_ra <> _rb").select("a", "b")
+    links = links.union(_alike(scratch, scratch.write(others), docs, bits))
+    roots = components(scratch, links).toDF("id", "root")
+    members = rooted(members.select("key", "id", "n"), "id", "root")
+    apart = members.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("r < s").select("key", "parts")
+    members = scratch.write(members.join(apart, "key"))
+    # each member of a group meets each part of it
+    left = members.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("a"), F.col("n").alias("_na"), F.col("root").alias("_ra"))
+    right = members.select("key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("b"), F.col("n").alias("_nb"), F.col("root").alias("_rb"))
+    rest = left.join(right, ["key", "part"]).where((F.col("a") < F.col("b")) & (F.col("_ra") != F.col("_rb")) & fits("_na", "_nb")).select("a", "b").distinct()
+    return links.union(_alike(scratch, scratch.write(rest), docs, bits))
 
 
 def keep_one_alike(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
