@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, kd_shards, language_id, line_dedup, media_jpeg, mixing, quality_rules, simhash_neardup, substring_dedup, token_files
-from plumbline.llm.common import table
+from plumbline.llm.common import Scratch, table
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -31,7 +31,7 @@ def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_jpeg.read_back(media_jpeg.store(table(spark, sf_dir, "documents")))
+    return media_jpeg.read_back(Scratch(spark, "media").write(media_jpeg.store(table(spark, sf_dir, "documents"))))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
