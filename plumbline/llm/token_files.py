@@ -10,7 +10,7 @@ run again replaces its own files, and no executor needs another's disk. Ids come
 past ASCII white space, so each different word is encoded once per worker.
 
 Edge cases: null or empty texts hold the end id alone; null keys come first; documents with the same key stand in any order,
-each with its own row; an empty table gives no file and an empty result; further columns are ignored.
+each with its own row; very long texts are encoded whole, a file ends with the document that fills it; an empty table gives no file and an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -113,8 +113,10 @@ class TokenFile:
         self.ends, at = EliasFano.from_bytes(data, 17)
         self.ids = np.frombuffer(data, f"<u{self.wide}", self.n_ids, at)
 
-    def document(self, k: int) -> np.ndarray:
-        return self.ids[self.ends[k - 1] if k else 0 : self.ends[k]]
+    def document(self, k: int) -> tuple[int, np.ndarray]:
+        """Where the k-th document begins and its ids, by two look-ups among the ends."""
+        start = self.ends[k - 1] if k else 0
+        return start, self.ids[start : self.ends[k]]
 
 
 _states: dict[str, tuple] = {}
@@ -222,7 +224,7 @@ def write_files(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
 
 
 def read_files(files: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, start, n_tokens and ids_crc32 for each document, from the files.
+    """key, start, n_tokens and ids_crc32 for each document, from the files, each document by itself through its file's Elias-Fano ends.
 
     A file's first id has the number of ids of all files before it; that running sum goes over one row per file.
     """
@@ -236,11 +238,14 @@ def read_files(files: DataFrame, key: str = "doc_id") -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 f = TokenFile(batch.column(1)[k].as_py())
-                ends = f.ends.all()
-                starts = np.concatenate(([0], ends[:-1]))
-                raw = memoryview(f.ids.astype("<u4").tobytes())
-                sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[k].values, pa.array(starts + batch.column(2)[k].as_py()), pa.array(ends - starts), pa.array(sums, pa.int64())], schema=to_arrow)
+                base = batch.column(2)[k].as_py()
+                starts, counts, sums = [], [], []
+                for d in range(f.ends.n):
+                    start, ids = f.document(d)
+                    starts.append(base + start)
+                    counts.append(len(ids))
+                    sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k].values, pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], schema=to_arrow)
 
     joined = files.join(placed, ["part", "file"]).select("keys", "data", "base")
     return joined.mapInArrow(run, f"`{key}` {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
