@@ -151,5 +151,21 @@ def with_row_id(scratch: Scratch, docs: DataFrame, name: str) -> DataFrame:
     return marked.join(files, "_plumb_file").select(*docs.columns, number.alias(name))
 
 
+#: Rows of one key that count as many: this share of all.
+HOT_SHARE = 0.005
+
+
+def join_spread(rows: DataFrame, by_key: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with by_key (one row for each key, with _rows, how many of rows have it), without _rows.
+
+    Keys with HOT_SHARE of all rows or more, of which there are 1 / HOT_SHARE at most, are sent to where the rows are; only the others' rows are dealt out by key. A null key finds nothing.
+    """
+    many = F.col("_rows") >= max(2, int(total * HOT_SHARE))
+    hot, cold = by_key.where(many).drop("_rows"), by_key.where(~many).drop("_rows")
+    there = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return there.select(*rest.columns).union(rest)
+
+
 def unsigned_hex(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(c), 16, "0"))

@@ -1,18 +1,20 @@
 """SimHash near-duplicates, found by BK-trees over shards.
 
 A text's fingerprint is the bitwise majority of the XXH64 hashes of its 3-word shingles. Equal fingerprints are merged first
-(a partial aggregate), so copies cost nothing further on. Two fingerprints within two bits agree in at least four of six blocks
-of bits; each fingerprint is sent to the 15 shards named by four of its blocks and their values. A shard's fingerprints differ
-in at most 22 bits, so none holds more than 2^22, however skewed the texts are, and most hold one. Each shard grows a BK-tree:
+(a partial aggregate), so copies cost nothing further on. Two fingerprints within two bits agree in one at least of three blocks
+of bits; each fingerprint is sent to the three shards named by its blocks, 2^21 or 2^22 shards for a block. Each shard grows a BK-tree:
 a child hangs on its integer Hamming distance to the parent, and a search for radius 2 follows only the edges from d-2 to d+2. What
 leaves a shard is a spanning forest of its links, not its pairs; components joins the forests.
 
+A shard with more than ``MOST`` fingerprints (a cluster of near copies can fill one) is split: its fingerprints go by four of six blocks instead, which two within two
+bits share as well, and such a shard's differ in 22 bits at most. Either way finds the same links.
+
 The trees reach their queries by the shuffle that makes the shards, not by a broadcast from the driver: the driver would have to
 collect the fingerprints of all documents.
 
-Edge cases: null, empty and blank texts get fingerprint zero and are linked like any other; one or two words are one shingle;
-null keys are ignored when a component's smallest key is sought (null if it has no other); repeated rows each get a row; an empty
-table gives an empty result.
+Edge cases: null, empty and blank texts get fingerprint zero and are linked like any other; one or two words are one shingle; very long texts are read whole;
+null keys are ignored when a component's smallest key is sought (null if it has no other); repeated rows each get a row; of keys that tie for the smallest either is the same; further columns are ignored by
+near_duplicates and carried by keep_one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch, components, map_arrow, unsigned_hex, with_row_id
+from plumbline.llm.common import Scratch, components, join_spread, map_arrow, unsigned_hex, with_row_id
 from plumbline.shipping import ship
 
 RADIUS = 2
 SHINGLE = 3
-BLOCKS = 6
+MOST = 20_000  # fingerprints of a shard
 #: Of keep_one_alike, besides the radius: words of a shingle and Jaccard similarity; texts whose shingles tell which are frequent.
 STAGE_SHINGLE = 5
 SIMILARITY = 0.8
@@ -134,10 +136,11 @@ def forest(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
     return links
 
 
-def _masks() -> list[int]:
-    edges = np.linspace(0, 64, BLOCKS + 1).round().astype(int)
-    blocks = [((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return [sum(x) for x in combinations(blocks, BLOCKS - RADIUS)]
+def _masks(blocks: int) -> list[int]:
+    """Bits of all but RADIUS of so many blocks: two fingerprints within the radius agree in those of one of these masks."""
+    edges = np.linspace(0, 64, blocks + 1).round().astype(int)
+    parts = [((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return [sum(x) for x in combinations(parts, blocks - RADIUS)]
 
 
 def _signed(x: int) -> int:
@@ -180,18 +183,25 @@ def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(found)
 
 
-def near_links(distinct: DataFrame) -> DataFrame:
+def _dealt(fps: DataFrame, blocks: int) -> DataFrame:
+    shards = F.array(*(F.xxhash64(F.lit(blocks), F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(_masks(blocks))))
+    return fps.select(F.explode(shards).alias("shard"), "fp")
+
+
+def near_links(distinct: DataFrame, most: int = MOST) -> DataFrame:
     """Links (a, b) that join any two of the different fingerprints fp within the radius, through a spanning forest per shard."""
-    shards = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(_masks())))
-    dealt = distinct.select(F.explode(shards).alias("shard"), "fp").repartition("shard").sortWithinPartitions("shard")
+    wide = _dealt(distinct, RADIUS + 1)
+    full = wide.groupBy("shard").count().where(F.col("count") > most).select("shard")
+    crowded = wide.join(full, "shard", "left_semi").select("fp").distinct()
+    dealt = wide.join(full, "shard", "left_anti").union(_dealt(crowded, 2 * RADIUS + 2)).repartition("shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(_shard_links, "a bigint, b bigint")
 
 
 def _rooted(scratch: Scratch, marked: DataFrame, best) -> DataFrame:
-    """A row (fp, root, best) for each different fingerprint; best aggregates over the rows with that fingerprint."""
-    distinct = scratch.write(marked.groupBy("fp").agg(best.alias("best")))
+    """A row (fp, root, best, _rows) for each different fingerprint; best aggregates over the rows with that fingerprint, _rows counts them."""
+    distinct = scratch.write(marked.groupBy("fp").agg(best.alias("best"), F.count("*").alias("_rows")))
     roots = components(scratch, near_links(distinct.select("fp"))).toDF("fp", "root")
-    return distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "best")
+    return scratch.write(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "best", "_rows"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,8 +210,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     marked = scratch.write(fingerprints(docs, [key], text))
     rooted = _rooted(scratch, marked, F.min(key))
     least = rooted.groupBy("root").agg(F.min("best").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(key, unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    named = scratch.write(rooted.join(least, "root").select("fp", "component_id", "_rows"))
+    return join_spread(marked, named, "fp", marked.count()).select(key, unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -361,12 +371,12 @@ def keep_one_alike(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     numbered = with_row_id(scratch, docs, "_plumb_row")
     marked = scratch.write(fingerprints(numbered, [key, "_plumb_row"], text))
     place = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_plumb_row").alias("id"))
-    rooted = scratch.write(_rooted(scratch, marked, F.min(place)))
+    rooted = _rooted(scratch, marked, F.min(place))
     # equal texts have equal shingles: the first of each text is held against the others
     same = numbered.withColumn("_ta", F.xxhash64(text)).withColumn("_tb", F.xxhash64(F.lit(7), text)).groupBy("_ta", "_tb").agg(F.min("_plumb_row").alias("_plumb_row")).select("_plumb_row")
     alike = alike_links(scratch, numbered.join(same, "_plumb_row", "left_semi").select(F.col("_plumb_row").alias("id"), text))
     # rows to the roots of their fingerprints; links of texts become links of roots
-    at = scratch.write(marked.select("_plumb_row", "fp").join(rooted.select("fp", "root"), "fp").select("_plumb_row", "root"))
+    at = scratch.write(join_spread(marked.select("_plumb_row", "fp"), rooted.select("fp", "root", "_rows"), "fp", marked.count()).select("_plumb_row", "root"))
     side = lambda c: at.toDF(c, f"{c}_root")
     wider = alike.join(side("a"), "a").join(side("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
     tops = components(scratch, wider).toDF("root", "top")

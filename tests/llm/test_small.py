@@ -142,13 +142,14 @@ def test_neardup_components(docs, empty):
     assert simhash_neardup.near_duplicates(empty).count() == 0 and simhash_neardup.keep_one(empty).count() == 0
 
 
-def test_shards_lose_no_link(spark):
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_shards_lose_no_link(spark, most):
     rng = random.Random(4)
     fps = {rng.getrandbits(64) for _ in range(300)}
     for f in list(fps)[:100]:
         fps |= {f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(3)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    links = simhash_neardup.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"))
+    links = simhash_neardup.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"), most)
     roots = {r.node: r.root for r in components(Scratch(spark, "t"), links).collect()}
     for a, b in itertools.combinations(signed, 2):
         if ((a ^ b) & (2**64 - 1)).bit_count() <= 2:
