@@ -3,13 +3,14 @@
 For each language a suffix automaton is built over a bounded sample of its labelled text. A word (with a blank on either side)
 is read along the automaton as far as it goes: that is the longest match from there on and makes one phrase; the next begins
 where it broke off. A text's cost is the sum over its words of phrases times log2 of the size of the language's sample, for each
-letter: cross-parsing entropy. Phrases end at words, so equal words cost the same and are parsed once per worker.
+letter: cross-parsing entropy. Phrases end at words, so equal words cost the same and are parsed once per worker; a parse of whole texts, across blanks, takes a step in
+each automaton for every letter of the corpus, about five times the CPU (README).
 
-What is learned is bounded by parameters: ``SAMPLE_DOCS`` documents of each language, ``SAMPLE_CHARS`` characters from the middle of
-each. Which documents are taken follows from a hash, not from where they stand.
+What is learned is bounded by parameters: at most ``LANGUAGES`` labels, the most frequent ones, and for each whole texts until they have ``SAMPLE_CHARS`` characters, those of ``LONG`` characters and more only
+where there are no others. Which texts are taken follows from their hashes, not from where they stand. A label whose texts have no letter is not learned.
 
 Edge cases: text null or without a letter: ``und`` with score 0; no learned language: ``und``; one learned language: score 1; ties go to
-the language first by code point; a null doc_id is neither learned from nor held out; repeated rows each get a row; an empty
+the language first by code point; a null doc_id is neither learned from nor held out; very long texts are predicted from the whole; repeated rows each get a row; further columns are ignored; an empty
 table gives an empty result.
 """
 
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import map_arrow
 
-SAMPLE_DOCS = 150
-SAMPLE_CHARS = 300
+SAMPLE_CHARS = 45_000
+LONG = 20_000
+LANGUAGES = 200
 TABLE_SIZE = 300_000
 
 
@@ -129,23 +131,25 @@ def is_held_out(key: Column, folds: int = 5) -> Column:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5) -> tuple[list[str], list[str]]:
     """Learned languages and their samples, from labelled documents that aren't held out.
 
-    Labels are counted first; then each language's rows with the smallest hashes are taken, down to a threshold that leaves about
-    twice the bound, and cut to the bound. What comes to the driver is bounded by the number of languages.
+    Labels are counted first; then each language's texts with the smallest hashes are taken, up to a threshold that leaves more than the bound asks for, and cut to the bound
+    by whole texts. What comes to the driver is LANGUAGES samples, each of SAMPLE_CHARS characters and one text more.
     """
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~is_held_out(F.col(key), folds))
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & ~is_held_out(F.col(key), folds))
+    size, long = F.length(text), (F.length(text) >= LONG).cast("int")
+    known = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), size.alias("n"), long.alias("long"), F.xxhash64(text).alias("h"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.when(F.col("long") == 0, F.col("n")).otherwise(0)).alias("chars"), F.sum(1 - F.col("long")).alias("short"))
+    counts = counts.orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return [], []
     span = 1 << 30
-    limit = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(span, span * (2 * SAMPLE_DOCS + 50) // n)))))
-    order = F.pmod(F.xxhash64(F.col(key)), F.lit(span))
-    few = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), order.alias("h"), F.col(key).alias("key")).where(F.col("h") < limit[F.col("lang")])
-    start = F.greatest(F.lit(1), ((F.length("text") - SAMPLE_CHARS) / 2).cast("int"))
-    few = few.select("lang", F.substr("text", start, F.lit(SAMPLE_CHARS)).alias("text"), "h", "key")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "key", "text"))
-    rows = few.withColumn("k", rank).where(F.col("k") <= SAMPLE_DOCS).collect()
+    # texts of a language in reach: six times the bound as hashes fall, so that cutting by whole texts never runs short
+    reach = {r["lang"]: span if not r["chars"] or r["short"] < 200 else max(1, min(span, 6 * span * SAMPLE_CHARS // r["chars"])) for r in counts}
+    limit = F.create_map(*(x for k, n in reach.items() for x in (F.lit(k), F.lit(n))))
+    few = known.where(F.pmod("h", F.lit(span)) < F.coalesce(limit[F.col("lang")], F.lit(0)))
+    before = Window.partitionBy("lang").orderBy("long", F.pmod("h", F.lit(span)), "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = few.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("ahead") < SAMPLE_CHARS).select("lang", "ahead", "text").collect()
     samples: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["k"])):
+    for r in sorted(rows, key=lambda r: (r["lang"], r["ahead"])):
         samples.setdefault(r["lang"], []).append(r["text"])
     return list(samples), [" ".join(x) for x in samples.values()]
 
@@ -157,7 +161,7 @@ def predict(docs: DataFrame, languages: list[str], samples: list[str], keep: lis
     """The kept columns of each row with lang_pred and score. Only the text is looked at."""
     kinds = dict(docs.dtypes)
     name = hashlib.sha256(repr((languages, samples)).encode("utf-8", "surrogatepass")).hexdigest()
-    sent = docs.sparkSession.sparkContext.broadcast((languages, samples))  # bounded by SAMPLE_DOCS and SAMPLE_CHARS
+    sent = docs.sparkSession.sparkContext.broadcast((languages, samples))  # bounded by LANGUAGES and SAMPLE_CHARS
 
     def rows(batch: pa.RecordBatch) -> dict:
         if name not in _models:

@@ -180,8 +180,16 @@ def test_media_round_trip(docs, empty):
         raw[len(b)] = b + bytes(-len(b) % 64 if b else 64)
     for r in rows:
         p = raw[r.n_bytes]
-        if list(raw).count(r.n_bytes) == 1 and r.n_bytes not in (0,):
-            assert r.payload_bytes == len(p)
+        assert r.payload_bytes == len(p)
+    pad = lambda b: b + bytes(-len(b) % 64 if b else 64)
+    want = Counter()
+    for d in docs.collect():
+        p = pad((d.text or "").encode())
+        (m,) = media_jpeg.encode([p])
+        images = media_jpeg.parse(m)
+        feature = ";".join(f"{i.width}x{i.height}-{media_jpeg.hashes(x)}" for i, x in zip(images, media_jpeg.thumbnails(images), strict=True))
+        want[d.doc_id, len((d.text or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature] += 1
+    assert want == Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in rows)
     digests = {hashlib.sha256((lambda b: b + bytes(-len(b) % 64 if b else 64))((r.text or "").encode())).hexdigest() for r in docs.collect()}
     assert {r.payload_sha256 for r in rows} == digests
     assert all(r.payload_bytes % 64 == 0 and r.payload_bytes > 0 for r in rows)
@@ -332,6 +340,37 @@ def test_language_edge_cases(docs, empty):
     assert language_id.identify(empty).count() == 0
 
 
+def test_language_predictions_against_brute_parsing(spark):
+    """Fitted on whole texts of rows that aren't held out; each prediction by parsing word after word with plain substring search."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    languages, samples = language_id.fit(docs)
+    texts = {r.text for r in docs.collect() if r.text and r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 != 0}
+    held = {r.text for r in docs.collect()} - texts
+    for lang, sample in zip(languages, samples, strict=True):
+        own = sorted((r.text for r in docs.where(docs.lang == lang).collect() if r.text in texts), key=len, reverse=True)
+        left = sample
+        for t in own:  # nothing but whole texts
+            left = left.replace(t, "", 1) if t in left else left
+        assert not left.strip() and not any(t in sample for t in held if len(t) > 200)
+    learned = [" " + " ".join(w for w in (language_id.only_letters(x) for x in s.split()) if w) + " " for s in samples]
+
+    def phrases(word, sample):
+        n, at = 0, 0
+        while at < len(word):
+            k = 1
+            while at + k < len(word) and word[at : at + k + 1] in sample:
+                k += 1
+            at, n = at + k, n + 1
+        return n
+
+    got = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    for r in docs.where("length(text) between 1 and 400").limit(12).collect():
+        w = [x for x in (language_id.only_letters(b.decode()) for b in r.text.encode().split()) if x]
+        if w:
+            cost = [sum(phrases(f" {x} ", s) for x in w) * np.log2(len(s)) for s in learned]
+            assert got[r.doc_id].lang_pred == languages[int(np.argmin(cost))]
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
     rows = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
