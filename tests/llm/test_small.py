@@ -397,6 +397,38 @@ def test_shards_hold_nearly_equal_bytes(spark, docs, empty):
     assert kd_shards.shard(empty).count() == 0
 
 
+def test_shards_are_a_tree_of_cuts(spark):
+    """Any two halves of the tree are apart along one dimension, and hold their share of the bytes but for one group of equal order."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    dims = kd_shards.default_dimensions()
+    place = {r.doc_id: r for r in table.select("doc_id", *(c.alias(d) for d, c in dims.items())).collect()}
+    rows = kd_shards.shard(table).collect()
+    assert sorted((r.doc_id, r["shard"], r.slot) for r in rows) == sorted((r.doc_id, r["shard"], r.slot) for r in kd_shards.shard(table).collect())
+    texts = {r.doc_id: r.text for r in table.collect()}
+    for r in rows:
+        assert (r["size"], r.text_crc32) == (8 + len((texts[r.doc_id] or "").encode()), zlib.crc32((texts[r.doc_id] or "").encode()))
+    largest = max(r["size"] for r in rows)
+
+    def check(first, n):
+        if n == 1:
+            return
+        left, right = ([r for r in rows if a <= r["shard"] < b] for a, b in ((first, first + n // 2), (first + n // 2, first + n)))
+        step = {d: (max(p[d] for p in place.values()) - min(p[d] for p in place.values())) / ((1 << 20) - 1) for d in dims}
+        assert any(max(place[r.doc_id][d] for r in left) <= min(place[r.doc_id][d] for r in right) + step[d] for d in dims)
+        whole, own = sum(r["size"] for r in left + right), sum(r["size"] for r in left)
+        assert abs(own - whole * (n // 2) / n) <= largest
+        check(first, n // 2)
+        check(first + n // 2, n - n // 2)
+
+    check(0, 24)
+
+
+def test_shards_of_string_keys(spark, tmp_path):
+    spark.createDataFrame([(f"k{k}", prose(k, 20), "a long label" + " of a kind" * (k % 2)) for k in range(60)] + [(None, None, None)], "doc_id string, text string, lang string").write.parquet(str(tmp_path / "s"))
+    rows = kd_shards.shard(spark.read.parquet(str(tmp_path / "s"))).collect()
+    assert len(rows) == 61 and len({r["shard"] for r in rows}) == 24
+
+
 def test_large_group_of_copies_is_split(spark, tmp_path):
     spark.createDataFrame([(k, "same text here") for k in range(600)] + [(1000 + k, prose(k, 30)) for k in range(100)], "doc_id long, text string").selectExpr("*", "'en' lang").write.parquet(str(tmp_path / "t"))
     rows = kd_shards.shard(spark.read.parquet(str(tmp_path / "t"))).collect()
