@@ -9,7 +9,7 @@ The file's stages are followed: special tokens in the raw text, NFC, white space
 characters, merges with an end-of-word mark. No stage looks past ASCII white space, so a text is cut there first and every
 different word is encoded once per worker. The word table has a fixed size; it only saves time.
 
-Edge cases: a null text is empty; an empty text has no tokens, and both digests are those of nothing; repeated rows each get a
+Edge cases: a null text is empty; an empty text has no tokens, and both digests are those of nothing; very long texts are encoded whole, word by word; ties of ranks go to the left; repeated rows each get a
 row; further columns are carried through by ``encode``; an empty table gives an empty result.
 """
 

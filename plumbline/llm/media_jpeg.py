@@ -8,7 +8,7 @@ interpreted loop over bits: all restart intervals of many images go forward toge
 ``thumbnails`` also reads other baseline files: several components, sampling factors, any Huffman tables, no restarts.
 
 Edge cases: a null or empty text is 64 zero bytes; a text over 524,224 bytes becomes several images, one after another; equal
-texts give equal bytes; repeated rows each get a row; an empty table gives an empty result; a file that isn't baseline JPEG
+texts give equal bytes; repeated rows each get a row, in any order, as nothing is ranked; further columns are ignored; an empty table gives an empty result; a file that isn't baseline JPEG
 raises ValueError.
 """
 

@@ -14,7 +14,7 @@ Tapes are prefix sums over buckets of hash order, then within buckets: a source
 many tasks as its rows need. Only the sources (one row each) pass through one task.
 
 Edge cases: a null or blank text has size 0 and is never taken; a null source is a source, last in order; equal rows stand side by
-side and are each taken on their own; an empty table gives an empty result; further columns are carried by ``training_order``.
+side and are each taken on their own; of documents that tie for the last change the first in hash order is taken; a very long text is taken whole or not at all, so its source may miss its target by up to half of it; an empty table gives an empty result; further columns are carried by ``training_order``.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ votes of a document are one of 3^8 patterns; only the patterns' counts (at most
 where expectation-maximisation fits the share of good documents and how each rule votes on good and on bad ones, which is its accuracy. The
 posteriors come back as a table of that bounded size.
 
-Edge cases: a null text counts as empty (no words, base_failed); repeated rows each get their own row; an empty table gives an
+Edge cases: a null text counts as empty (no words, base_failed); very long texts are measured whole; documents with one vote pattern tie with one posterior, so all or none of them stay; repeated rows each get their own row; an empty table gives an
 empty result; further columns are carried through by ``keep_good`` and ignored by ``measure``.
 """
 
