@@ -391,9 +391,12 @@ STRUCTURE = f"""h AS (SELECT doc_id, count(*) AS n, bool_or(issue IN ('no_h1', '
 
 @query("e04_structure_check", f"WITH {STRUCTURE} SELECT * FROM s")
 def e04(spark, sf):
-    paragraphs = s.outlined(spark, sf)
+    return structure_of(s.outlined(spark, sf), s.document_tables(spark, sf))
+
+
+def structure_of(paragraphs, cells):
     candidates = structure.fake_heading_scores(paragraphs, OFFICE_WEIGHTS, citations=False, bold_only=True).where("score >= 0.5")
-    tables = s.document_tables(spark, sf).groupBy("doc_id", "table_id").agg(
+    tables = cells.groupBy("doc_id", "table_id").agg(
         ((F.max("header_rows") == 0).cast("int") + F.bool_or(F.col("span") > 1).cast("int")).alias("issues"), F.sum((F.col("r") < F.col("header_rows")).cast("int")).alias("th")
     )
     return checks.structure_check(paragraphs, candidates, tables.withColumn("tagged", F.col("doc_id") % 4 == 1))
@@ -411,7 +414,10 @@ PAGE_CHECKS = f"""l AS (WITH {ISSUES} SELECT page_id, count(DISTINCT pos) AS ite
 
 
 def all_checks(spark, sf):
-    return checks.document_checks(s.table(spark, sf, "pages"), s.faulty_anchors(spark, sf), s.alts(spark, sf), s.colours(spark, sf), e04(spark, sf))
+    """Only documents that have a page are looked at."""
+    pages = s.table(spark, sf, "pages")
+    own = lambda df: df.join(pages.select(F.col("page_id").alias("doc_id")), "doc_id", "left_semi")
+    return checks.document_checks(pages, s.faulty_anchors(spark, sf), own(s.alts(spark, sf)), own(s.colours(spark, sf)), structure_of(own(s.outlined(spark, sf)), own(s.document_tables(spark, sf))))
 
 
 @query("e07_page_checks", f"WITH {PAGE_CHECKS} SELECT page_id, criterion, status, items FROM c")
