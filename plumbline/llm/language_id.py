@@ -4,7 +4,7 @@ For each language a suffix automaton is built over a bounded sample of its label
 is read along the automaton as far as it goes: that is the longest match from there on and makes one phrase; the next begins
 where it broke off. A text's cost is the sum over its words of phrases times log2 of the size of the language's sample, for each
 letter: cross-parsing entropy. Phrases end at words, so equal words cost the same and are parsed once per worker; a parse of whole texts, across blanks, takes a step in
-each automaton for every letter of the corpus, about five times the CPU (README).
+each automaton for every letter of the corpus, about twice the CPU (README).
 
 What is learned is bounded by parameters: at most ``LANGUAGES`` labels, the most frequent ones, and for each whole texts until they have ``SAMPLE_CHARS`` characters, those of ``LONG`` characters and more only
 where there are no others. Which texts are taken follows from their hashes, not from where they stand. A label whose texts have no letter is not learned.
