@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, kd_shards, language_id, line_dedup, media_jpeg, mixing, quality_rules, simhash_neardup, substring_dedup, token_files
+from plumbline.llm import bpe, kd_shards, language_id, line_dedup, media_jpeg, merkle, mixing, oracles, quality_rules, simhash_neardup, substring_dedup, token_files
 from plumbline.llm.common import Scratch, table
 
 
@@ -64,7 +64,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(token_files.write_files(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    true, tampered = merkle.leaf(*fields, F.col("text")), merkle.leaf(*fields, merkle.lower_ascii(F.col("text")))
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    out = merkle.prove(docs.select(F.col("doc_id").alias("key"), F.col("source").alias("grp"), true.alias("node"), F.when(chosen, tampered).otherwise(true).alias("claim")))
+    return out.withColumnsRenamed({"key": "doc_id", "grp": "source"})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_simhash_neardup, op3_media_jpeg, op4_bpe, op5_language_id, op6_kd_shards, op7_substring_dedup, op8_mixing, op9_line_dedup, op10_token_files)
+    f.__name__: f for f in (op1_quality_rules, op2_simhash_neardup, op3_media_jpeg, op4_bpe, op5_language_id, op6_kd_shards, op7_substring_dedup, op8_mixing, op9_line_dedup, op10_token_files, op13_merkle_manifest)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_merkle_manifest": oracles.merkle()}
