@@ -53,3 +53,23 @@ def merkle(levels: int = 6) -> str:
 SELECT doc_id, source, leaf, t{levels}.node AS subroot, u3.node AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = u3.node AS verified
 FROM f{levels + 3} f JOIN t{levels} ON t{levels}.tree = f.tree, u3"""
     )
+
+
+#: op12: words that share a form with one code point left out, at the same place (replaced) or where one of them is that form (inserted).
+SPELLING = f"""WITH RECURSIVE {CRC_TABLE},
+found AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+per_doc AS (SELECT doc_id, run, count(*) AS n, length(run) AS m FROM found WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (SELECT run, n, m, {crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM per_doc, crc_steps),
+slipped AS (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % m)::INT) || substr(run, (h % m)::INT + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n, length(word) AS m FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+gaps AS (SELECT word, n, k, substr(word, 1, k) || substr(word, k + 2) AS rest FROM (SELECT word, n, unnest(range(m)) AS k FROM words)),
+pairs AS (
+  SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM gaps x JOIN gaps y ON x.rest = y.rest AND x.k = y.k AND x.word <> y.word
+  UNION SELECT g.word, g.n, w.word, w.n FROM gaps g JOIN words w ON w.word = g.rest
+  UNION SELECT w.word, w.n, g.word, g.n FROM gaps g JOIN words w ON w.word = g.rest),
+best AS (SELECT word, count(*) AS n_near, min(CASE WHEN near_n >= 10 * n THEN (-near_n, near) END) AS b FROM pairs GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, b[2] AS form, -b[1] AS form_n FROM words w LEFT JOIN best USING (word)),
+walk AS (SELECT word, form AS place, form_n AS place_n FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT walk.word, forms.form, forms.form_n FROM walk JOIN forms ON forms.word = walk.place WHERE forms.form IS NOT NULL),
+ends AS (SELECT word, arg_max(place, place_n) AS root FROM walk GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN ends USING (word)"""

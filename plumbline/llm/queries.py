@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, kd_shards, language_id, line_dedup, media_jpeg, merkle, mixing, oracles, quality_rules, simhash_neardup, substring_dedup, token_files
+from plumbline.llm import bpe, kd_shards, language_id, line_dedup, media_jpeg, merkle, mixing, oracles, quality_rules, simhash_neardup, spelling, substring_dedup, token_files
 from plumbline.llm.common import Scratch, table
 
 
@@ -64,6 +64,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(token_files.write_files(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return spelling.group_variants(spelling.count_words(spelling.with_slips(spelling.runs(docs))))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -74,6 +79,6 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_simhash_neardup, op3_media_jpeg, op4_bpe, op5_language_id, op6_kd_shards, op7_substring_dedup, op8_mixing, op9_line_dedup, op10_token_files, op13_merkle_manifest)
+    f.__name__: f for f in (op1_quality_rules, op2_simhash_neardup, op3_media_jpeg, op4_bpe, op5_language_id, op6_kd_shards, op7_substring_dedup, op8_mixing, op9_line_dedup, op10_token_files, op12_spelling_variants, op13_merkle_manifest)
 }
-ORACLES: dict[str, str] = {"op13_merkle_manifest": oracles.merkle()}
+ORACLES: dict[str, str] = {"op12_spelling_variants": oracles.SPELLING, "op13_merkle_manifest": oracles.merkle()}
