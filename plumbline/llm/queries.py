@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, kd_shards, language_id, line_dedup, media_jpeg, merkle, mixing, oracles, quality_rules, simhash_neardup, spelling, substring_dedup, token_files
+from plumbline.llm import bpe, kd_shards, language_id, line_dedup, media_jpeg, merkle, mixing, oracles, packing, quality_rules, simhash_neardup, spelling, substring_dedup, token_files
 from plumbline.llm.common import Scratch, table
 
 
@@ -64,6 +64,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(token_files.write_files(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    pieces = Scratch(spark, "pieces").write(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    step = packing.steps(pieces).select("sequence_id", F.format_string("%d-%d-%d", "step.lane", "step.tier", "step.number").alias("step"))
+    return pieces.join(step, "sequence_id").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return spelling.group_variants(spelling.count_words(spelling.with_slips(spelling.runs(docs))))
@@ -79,6 +86,6 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_simhash_neardup, op3_media_jpeg, op4_bpe, op5_language_id, op6_kd_shards, op7_substring_dedup, op8_mixing, op9_line_dedup, op10_token_files, op12_spelling_variants, op13_merkle_manifest)
+    f.__name__: f for f in (op1_quality_rules, op2_simhash_neardup, op3_media_jpeg, op4_bpe, op5_language_id, op6_kd_shards, op7_substring_dedup, op8_mixing, op9_line_dedup, op10_token_files, op11_packing, op12_spelling_variants, op13_merkle_manifest)
 }
 ORACLES: dict[str, str] = {"op12_spelling_variants": oracles.SPELLING, "op13_merkle_manifest": oracles.merkle()}
