@@ -14,11 +14,12 @@ import re
 from plumbline.llm.bpe import halve, visible_bytes
 
 #: Words that a worker remembers, of each kind.
-TABLE_SIZE = 600_000
+TABLE_SIZE = 1_000_000
 # fixed values: Unicode's White_Space
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"([{SPACE}]*)([^{SPACE}]*)")
 _VISIBLE = dict(visible_bytes())
+_SPACE = _VISIBLE[ord(" ")]
 _MARKS = (".", ",")
 
 
@@ -32,6 +33,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         self.special = [x["content"] for x in kind["added_tokens"]]
@@ -47,21 +49,22 @@ class Encoder:
         code = self.code
         return [b"".join([code[i] for i in e.ids]) for e in fast(texts, add_special_tokens=False)]
 
-    def _word(self, text: str) -> bytes:
+    def _word(self, lead: str, word: str) -> bytes:
         """A space or none and letters: one piece, which can go straight to the model."""
         code = self.code
-        return b"".join([code[t.id] for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(_VISIBLE))])
+        seen = word if word.isascii() else word.encode().decode("latin-1").translate(_VISIBLE)
+        return b"".join([code[t.id] for t in self.model.tokenize(_SPACE + seen if lead else seen)])
 
     def _learn(self, table: dict[str, bytes], lead: str, words: set[str]) -> None:
         """Words that begin and end with anything but white space."""
         rest = []
         for w in words:
             if w.isalpha():
-                table[w] = self._word(lead + w)
+                table[w] = self._word(lead, w)
             elif w[-1] in _MARKS and w[:-1].isalpha():
                 stem = w[:-1]
                 if stem not in table:
-                    table[stem] = self._word(lead + stem)
+                    table[stem] = self._word(lead, stem)
                 table[w] = table[stem] + self.code[self.tokenizer.token_to_id(w[-1])]
             else:
                 rest.append(w)
@@ -89,14 +92,20 @@ class Encoder:
         for table in (self.spaced, self.bare):
             if len(table) > TABLE_SIZE:  # the words met first are the frequent ones
                 halve(table)
-        cut = [[line.split(" ") for line in (x or "").split("\n")] for x in texts]
-        self._look_up("", {parts[0] for lines in cut for parts in lines})
-        self._look_up(" ", {w for lines in cut for parts in lines for w in parts[1:]} - self.spaced.keys())
-        spaced, bare, feed = self.spaced.get, self.bare.get, self._library(["\n"])[0]
+        spaced, bare, feed = self.spaced, self.bare, self._library(["\n"])[0]
+        lines = [line.split(" ") for x in texts for line in (x or "").split("\n")]
+        firsts = [words.pop(0) for words in lines]
+        found = [list(map(spaced.get, words)) for words in lines]
+        gaps = [(words, parts) for words, parts in zip(lines, found, strict=True) if None in parts]
+        self._look_up("", set(firsts).difference(bare))
+        self._look_up(" ", {w for words, parts in gaps for w, x in zip(words, parts, strict=True) if x is None})
+        for words, parts in gaps:
+            parts[:] = [spaced.get(w) if x is None else x for w, x in zip(words, parts, strict=True)]
+        done = iter([None if (x := bare.get(first)) is None or None in parts else x + b"".join(parts) for first, parts in zip(firsts, found, strict=True)])
         out: list[bytes | None] = []
-        for lines in cut:
-            found = [[bare(parts[0]), *map(spaced, parts[1:])] for parts in lines]
-            out.append(None if any(None in parts for parts in found) else feed.join([b"".join(parts) for parts in found]))
+        for x in texts:
+            own = [next(done) for _ in range((x or "").count("\n") + 1)]
+            out.append(None if None in own else feed.join(own))
         odd = [k for k, x in enumerate(out) if x is None]
         whole = [k for k in odd if any(s in (texts[k] or "") for s in self.special)]
         for k, x in zip(whole, self._library([texts[k] for k in whole]), strict=True):
