@@ -14,6 +14,23 @@ PAGE_NOISE = r"Problem \d+ continued on next page[.\u2026]*\s*|Problem \d+ \(con
 ARGUMENT_NOISE = r"^(?:automata|positioning|plain|auto|grid)[,\s]*(?:automata|positioning|plain|auto|grid|[,\s])*$"
 LISTING_NOISE = r"^(?:frame|rulecolor|numbers|numbersep|numberstyle|commentstyle|basicstyle|keywordstyle|showstringspaces|xleftmargin|framexleftmargin|breaklines|postbreak|stringstyle|identifierstyle|tabsize|backgroundcolor|captionpos|escapeinside|language|style)\s*="
 
+SYMBOLS = (
+    ("\\gets", "←"), ("\\leftarrow", "←"), ("\\rightarrow", "→"), ("\\geq", "≥"), ("\\leq", "≤"), ("\\neq", "≠"), ("\\ne", "≠"), ("\\times", "×"), ("\\cdot", "·"), ("\\ldots", "…"), ("\\infty", "∞"), ("\\in", "∈"),
+    ("\\notin", "∉"), ("\\subseteq", "⊆"), ("\\cup", "∪"), ("\\cap", "∩"), ("\\forall", "∀"), ("\\exists", "∃"), ("\\neg", "¬"), ("\\land", "∧"), ("\\lor", "∨"), ("\\to", "→"), ("\\Rightarrow", "⇒"), ("\\Leftarrow", "⇐"),
+    ("\\Leftrightarrow", "⇔"), ("\\alpha", "α"), ("\\beta", "β"), ("\\gamma", "γ"), ("\\delta", "δ"), ("\\epsilon", "ε"), ("\\theta", "θ"), ("\\lambda", "λ"), ("\\mu", "μ"), ("\\pi", "π"), ("\\sigma", "σ"), ("\\tau", "τ"),
+    ("\\phi", "φ"), ("\\psi", "ψ"), ("\\omega", "ω"),
+)
+OPENS = ("\\Function", "\\Procedure", "\\If", "\\For", "\\While")
+TURNS = ("\\ElsIf", "\\Else")
+CLOSES = ("\\EndFunction", "\\EndProcedure", "\\EndIf", "\\EndFor", "\\EndWhile")
+
+
+def symbols(c: Column) -> Column:
+    """Known commands as their characters, one after another in this order; other commands lose the backslash."""
+    for command, character in SYMBOLS:
+        c = F.replace(c, F.lit(command), F.lit(character))
+    return F.regexp_replace(c, r"\\([A-Za-z]+)", "$1")
+
 
 def bare(c: Column) -> Column:
     return F.regexp_replace(c, r"^[{}]+|[{}]+$", "")
@@ -51,6 +68,88 @@ def is_pseudocode(c: Column) -> Column:
     return (has("Function|Procedure|If|While|For") & has("State|EndIf|EndFunction|EndProcedure|EndFor|EndWhile")) | (step & has("Call")) | (has("Require|Ensure") & step)
 
 
+_ATOM = r"\\[\p{L}*]*|\{|\}|\n|[^\\{}\n]+"
+_NO_STRINGS = "array<string>"
+
+
+def command_tokens(c: Column) -> Column:
+    """Commands, groups in matching braces (with the braces) and the texts between them: a fold over the text's atoms that keeps the depth of braces."""
+
+    def step(state: Column, atom: Column) -> Column:
+        command, begins, ends = atom.startswith("\\"), atom == "{", atom == "}"
+        depth, text = state["depth"], state["text"]
+        done = lambda value: F.concat(state["tokens"], F.when(strip(text) != "", F.array(strip(text))).otherwise(F.array().cast(_NO_STRINGS)), value)
+        none = F.array().cast(_NO_STRINGS)
+        as_state = lambda tokens, text, depth: F.struct(tokens.alias("tokens"), text.alias("text"), depth.cast("int").alias("depth"))
+        within = F.when(ends & (depth == 1), as_state(F.concat(state["tokens"], F.array(F.concat(text, atom))), F.lit(""), F.lit(0))).otherwise(as_state(state["tokens"], F.concat(text, atom), F.when(begins, depth + 1).when(ends, depth - 1).otherwise(depth)))
+        outside = F.when(command, as_state(done(F.array(atom)), F.lit(""), F.lit(0))).when(begins, as_state(done(none), atom, F.lit(1))).when(atom == "\n", as_state(done(none), F.lit(""), F.lit(0))).otherwise(as_state(state["tokens"], F.concat(text, atom), F.lit(0)))
+        return F.when(depth > 0, within).otherwise(outside)
+
+    start = F.struct(F.array().cast(_NO_STRINGS).alias("tokens"), F.lit("").alias("text"), F.lit(0).alias("depth"))
+    return F.aggregate(F.regexp_extract_all(c, F.lit(_ATOM), F.lit(0)), start, step, lambda state: F.filter(F.concat(state["tokens"], F.array(F.when(state["depth"] > 0, state["text"]).otherwise(strip(state["text"])))), lambda x: x != ""))
+
+
+def _unbraced(token: Column) -> Column:
+    return F.when(token.startswith("{") & token.endswith("}"), strip(F.substring(token, F.lit(2), F.length(token) - 2))).otherwise(token)
+
+
+def _escaped(c: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def pseudocode(c: Column) -> Column:
+    """Commands of the algorithmic packages as indented lines; null if there is no line. A command takes the groups and texts up to the next one, and a fold over the commands keeps the indent."""
+    none = F.array().cast(_NO_STRINGS)
+    strong = lambda word: F.lit(f"<strong>{word}</strong>")
+
+    def said(command: Column, args: Column, lead: Column) -> Column:
+        """The line of one command without its indent, null for none."""
+        at = lambda k: F.coalesce(F.get(args, F.lit(k)), F.lit(""))
+        group = lambda k: F.when(at(k).startswith("{"), _unbraced(at(k))).otherwise("")
+        condition = _escaped(symbols(F.array_join(F.transform(lead, _unbraced), " ")))
+        statement = _escaped(strip(symbols(F.array_join(F.transform(args, _unbraced), " "))))
+        after = lambda word, mark="": F.when(statement != "", F.concat(strong(word + mark), F.lit(" "), statement)).otherwise(strong(word + mark))
+        head = lambda word: F.concat(strong(word), F.lit(" "), _escaped(group(0)), F.lit("("), _escaped(group(1)), F.lit("):"))
+        asked = lambda word: F.concat(strong(word), F.lit(" "), condition, F.lit(":"))
+        return (
+            F.when(command == "\\Function", head("Function"))
+            .when(command == "\\Procedure", head("Procedure"))
+            .when(command == "\\If", asked("If"))
+            .when(command == "\\ElsIf", asked("Else If"))
+            .when(command == "\\For", asked("For"))
+            .when(command == "\\While", asked("While"))
+            .when(command == "\\Else", F.concat(strong("Else"), F.lit(":")))
+            .when((command == "\\State") & (statement != ""), statement)
+            .when(command == "\\Return", after("Return"))
+            .when(command == "\\Require", after("Require", ":"))
+            .when(command == "\\Ensure", after("Ensure", ":"))
+            .when(command == "\\Call", F.concat(_escaped(_unbraced(at(0))), F.lit("("), _escaped(symbols(_unbraced(at(1)))), F.lit(")")))
+        )
+
+    def gather(state: Column, token: Column) -> Column:
+        """Commands with what follows them: all of it, and the groups before the first text."""
+        is_command = token.startswith("\\")
+        now = state["now"]
+        fresh = F.struct(token.alias("command"), none.alias("args"), none.alias("lead"))
+        more = F.struct(now["command"].alias("command"), F.concat(now["args"], F.array(token)).alias("args"), F.when(token.startswith("{") & (F.size(now["args"]) == F.size(now["lead"])), F.concat(now["lead"], F.array(token))).otherwise(now["lead"]).alias("lead"))
+        return F.struct(F.when(is_command, F.concat(state["done"], F.array(now))).otherwise(state["done"]).alias("done"), F.when(is_command, fresh).otherwise(more).alias("now"))
+
+    nothing = F.struct(F.lit("").alias("command"), none.alias("args"), none.alias("lead"))
+    commands = F.aggregate(command_tokens(c), F.struct(F.array().cast("array<struct<command:string,args:array<string>,lead:array<string>>>").alias("done"), nothing.alias("now")), gather, lambda state: F.concat(state["done"], F.array(state["now"])))
+    lines = F.transform(commands, lambda x: F.struct(x["command"].alias("command"), said(x["command"], x["args"], x["lead"]).alias("line")))
+
+    def indent(state: Column, x: Column) -> Column:
+        back = x["command"].isin(*TURNS, *CLOSES)
+        level = F.when(back, F.greatest(state["level"] - 1, F.lit(0))).otherwise(state["level"])
+        line = F.when(x["line"].isNotNull(), F.array(F.concat(F.repeat(F.lit("    "), level), x["line"]))).otherwise(none)
+        return F.struct((level + x["command"].isin(*OPENS, *TURNS).cast("int")).alias("level"), F.concat(state["lines"], line).alias("lines"))
+
+    out = F.aggregate(lines, F.struct(F.lit(0).alias("level"), none.alias("lines")), indent, lambda state: state["lines"])
+    return F.when(F.size(out) > 0, F.concat(F.lit('<pre class="algorithm">\n'), F.array_join(out, "\n"), F.lit("\n</pre>")))
+
+
 def is_tikz(c: Column) -> Column:
     return c.rlike(r"\\(node|draw|path|tikz)\b|tikzpicture")
 

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import latex, text
@@ -21,8 +21,6 @@ from plumbline.shipping import ship
 from plumbline.sources import tables as s
 from plumbline.sources import twins as q
 
-# Symbols in the order in which they are replaced.
-SYMBOLS = (("\\forall", "∀"), ("\\exists", "∃"), ("\\neg", "¬"), ("\\land", "∧"), ("\\lor", "∨"), ("\\to", "→"), ("\\Rightarrow", "⇒"), ("\\Leftarrow", "⇐"), ("\\Leftrightarrow", "⇔"), ("\\alpha", "α"), ("\\beta", "β"), ("\\gamma", "γ"), ("\\delta", "δ"), ("\\epsilon", "ε"), ("\\theta", "θ"), ("\\lambda", "λ"), ("\\mu", "μ"), ("\\pi", "π"), ("\\sigma", "σ"), ("\\tau", "τ"), ("\\phi", "φ"), ("\\psi", "ψ"), ("\\omega", "ω"))
 
 
 def shared(spark: SparkSession, name: str) -> str:
@@ -118,40 +116,24 @@ def b06(spark, sf):
 @query("b32_latex_symbols", f"WITH {q.LINES} SELECT doc_id, pos, '∀x ∃y α→β foo ' || text AS t FROM lines")
 def b32(spark, sf):
     t = F.concat(F.lit("\\forallx \\existsy \\alpha\\to\\beta \\foo "), F.col("text"))
-    for a, b in SYMBOLS:
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return s.lines(spark, sf).select("doc_id", "pos", F.regexp_replace(t, r"\\([A-Za-z]+)", "$1").alias("t"))
+    return s.lines(spark, sf).select("doc_id", "pos", latex.symbols(t).alias("t"))
 
 
-def indented(source: str) -> str | None:
-    """Pseudocode commands as indented lines."""
-    import re
-
-    openers, closers = {"Function", "Procedure", "If", "For", "While"}, {"EndFunction", "EndProcedure", "EndIf", "EndFor", "EndWhile"}
-    depth, out = 0, []
-    for name, rest in re.findall(r"\\([A-Za-z]+)([^\\]*)", source):
-        if name in closers:
-            depth = max(0, depth - 1)
-            continue
-        level = depth - 1 if name in ("Else", "ElsIf") else depth
-        word = "" if name == "State" else name.lower() + " "
-        out.append("  " * max(0, level) + (word + rest.strip(" {}")).strip())
-        depth += name in openers
-    return "\n".join(out) if out else None
-
-
-@query("b33_pseudocode_format")
+@query("b33_pseudocode_format", """SELECT doc_id, pos, CASE pos % 4 WHEN 0 THEN '<pre class="algorithm">' || chr(10) || '<strong>Require:</strong> ' || t || chr(10) || '<strong>Function</strong> F' || pos || '(' || t || '):' || chr(10)
+    || '    <strong>If</strong> x ≥ {' || doc_id || '}:' || chr(10) || '        ' || t || chr(10) || '    <strong>Else If</strong> ' || t || ' b:' || chr(10) || '        <strong>Return</strong>' || chr(10) || '    <strong>Else</strong>:' || chr(10) || '        G(' || t || ')' || chr(10) || '</pre>'
+  WHEN 1 THEN '<pre class="algorithm">' || chr(10) || '<strong>While</strong> p q:' || chr(10) || '    <strong>For</strong> α ∈ ' || t || ':' || chr(10) || '        a {' || pos || ' c} ' || t || chr(10) || '<strong>Ensure:</strong>' || chr(10) || '<strong>Return</strong> ' || t || chr(10) || '</pre>'
+  WHEN 2 THEN '<pre class="algorithm">' || chr(10) || '<strong>Procedure</strong> P():' || chr(10) || '    ' || t || chr(10) || '</pre>' END AS code
+  FROM (SELECT doc_id, pos, upper(replace(left(regexp_replace(text, '[^A-Za-z]', '', 'g'), 12), 'z', 'y')) AS t FROM lines) WHERE t <> ''""".replace("SELECT doc_id, pos, CASE", f"WITH {q.LINES} SELECT doc_id, pos, CASE", 1))
 def b33(spark, sf):
-    ship(spark)
-
-    @F.pandas_udf("string")
-    def run(source: pd.Series) -> pd.Series:
-        return source.map(indented)
-
-    k = F.col("c_custkey")
-    source = F.concat(F.lit("\\Function{f} \\If{x < "), k.cast("string"), F.lit("} \\State a \\Else \\Return b \\EndIf \\EndFunction"))
-    rows = s.table(spark, sf, "customer").select(k.alias("k"), F.when(k % 3 == 0, "plain").otherwise(source).alias("source"))
-    return rows.select("k", F.when(latex.is_pseudocode(F.col("source")), run("source")).alias("code"))
+    word = F.upper(F.replace(F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, 12), F.lit("z"), F.lit("y")))
+    rows = s.lines(spark, sf).select("doc_id", "pos", word.alias("t")).where("t <> ''")
+    pos, t = F.col("pos").cast("string"), F.col("t")
+    first = ("\\Require ", t, "\n\\Function{F", pos, "}{", t, "} \\If{x \\geq {", F.col("doc_id").cast("string"), "}} \\State ", t, " \\Comment{no} \\ElsIf{", t, "}{b} text \\State \\Return \\Else \\Call{G}{", t, "} \\EndIf \\EndFunction \\EndIf")
+    second = ("\\While{p}{q} \\For{\\alpha \\in ", t, "} \\State {a {", pos, " c}} ", t, " \\EndFor \\EndWhile \\Ensure \\Return ", t)
+    third = ("\\Procedure {P} {} ", t, " \\State ", t, "\n \\gets ", t)
+    join = lambda parts: F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in parts))
+    source = F.when(F.col("pos") % 4 == 0, join(first)).when(F.col("pos") % 4 == 1, join(second)).when(F.col("pos") % 4 == 2, join(third)).otherwise(t)
+    return rows.withColumn("source", source).select("doc_id", "pos", F.when(latex.is_pseudocode(F.col("source")), latex.pseudocode(F.col("source"))).alias("code"))
 
 
 @query("b43_surrounding_text", f"""WITH {q.LINES}, c AS (SELECT doc_id, pos, text, length(text) AS n, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM lines),

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources import html
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -134,3 +136,27 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+
+def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, html: pages whose article also has headings, formulas, equations, tables (nested, with and without head), images, error marks and an open paragraph, chosen by page_id."""
+    k, page = F.col("page_id").cast("string"), F.col("page_id")
+    lit, join = F.lit, F.concat
+    when = lambda c, *parts: F.when(c, join(*parts)).otherwise("")
+    mark = lambda s: f'<span class="ltx_ERROR undefined">{s}</span>'
+    extra = join(
+        lit('<h2 class="ltx_title">Part &amp; '), k, lit('</h2><p class="ltx_p">Let <math alttext="x_'), k, lit('" display="inline"><mi>x</mi></math> be <i>real</i>.</p>'),
+        when(page % 3 == 0, lit('<table class="ltx_equation ltx_eqn"><tr><td><p>in</p><math class="ltx_math_unparsed" alttext="E='), k, lit('"><mi>E</mi></math></td><td><span class="ltx_tag ltx_tag_equation">('), k, lit(")</span></td></tr></table>")),
+        lit('<table class="ltx_tabular">'), when(page % 2 == 0, lit("<thead><tr><th>Name</th><th> Value</th></tr></thead>")), lit("<tbody><tr><td>x <b>y</b></td><td>"), k,
+        when(page % 5 == 0, lit("<table><tr><td>inner</td></tr></table>after")), lit("</td></tr><tr></tr><tr><td>last</td></tr></tbody></table>"),
+        when(page % 4 == 0, lit(f"<p>{mark('\\draw')} (0,0) -- (1,1);</p>")),
+        when(page % 4 == 1, lit(f"<p>Some text. {mark('\\badcmd')} More {mark('\\sc kept')}.</p>")),
+        when(page % 4 == 2, lit(f"<p>{mark('\\Function')} <span class=\"ltx_ERROR\">{{F"), k, lit(f"}}</span> {mark('{x}')} {mark('\\State')} {mark('\\Return')} {mark('x')}</p>")),
+        lit('<p>next <img src="fig_'), k, F.when(page % 7 == 0, '.jpg"').otherwise('.png"'), when(page % 3 != 1, lit(' alt="Figure of '), k, lit('"')), lit("> para"),
+    )
+    return table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("</article>"), F.concat(extra, F.lit("</article>"))).alias("html"))
+
+
+def page_model(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The document model of rich_pages: paragraphs, tables, cells, images, math, order."""
+    return html.model(rich_pages(spark, sf_dir))
