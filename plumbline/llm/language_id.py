@@ -2,12 +2,12 @@
 
 For each language a suffix automaton is built over a bounded sample of its labelled text. A word (with a blank on either side)
 is read along the automaton as far as it goes: that is the longest match from there on and makes one phrase; the next begins
-where it broke off. A text's cost is the sum over its words of phrases times log2 of the size of the language's sample, for each
-letter: cross-parsing entropy. Phrases end at words, so equal words cost the same and are parsed once per worker; a parse of whole texts, across blanks, takes a step in
+where it broke off. A text's cost is the number of phrases of its words for each letter; a phrase weighs the same in every language (log2 of the size of the largest sample would be its code's
+length), so a label with a word or two of text explains little and wins nothing. Phrases end at words, so equal words cost the same and are parsed once per worker; a parse of whole texts, across blanks, takes a step in
 each automaton for every letter of the corpus, about twice the CPU (README).
 
-What is learned is bounded by parameters: at most ``LANGUAGES`` labels, the most frequent ones, and for each whole texts until they have ``SAMPLE_CHARS`` characters, those of ``LONG`` characters and more only
-where there are no others. Which texts are taken follows from their hashes, not from where they stand. A label whose texts have no letter is not learned.
+What is learned is bounded by parameters: every label counts, and for each whole texts until they have ``SAMPLE_CHARS`` characters (less where that would make more than ``ALL_CHARS``, but a text at least), those of ``LONG``
+characters and more only where there are no others. Which texts are taken follows from their hashes, not from where they stand. A label whose texts have no letter is not learned.
 
 Edge cases: text null or without a letter: ``und`` with score 0; no learned language: ``und``; one learned language: score 1; ties go to
 the language first by code point; a null doc_id is neither learned from nor held out; very long texts are predicted from the whole; repeated rows each get a row; further columns are ignored; an empty
@@ -17,7 +17,6 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +28,11 @@ from plumbline.llm.common import map_arrow
 
 SAMPLE_CHARS = 45_000
 LONG = 20_000
-LANGUAGES = 200
+ALL_CHARS = 9_000_000
+#: Texts of a label that are looked at where hashes choose among them.
+ENOUGH = 200
 TABLE_SIZE = 300_000
+SPAN = 1 << 30
 
 
 class SuffixAutomaton:
@@ -88,7 +90,6 @@ class Model:
 
     def __post_init__(self) -> None:
         self.automata = [SuffixAutomaton(" " + " ".join(filter(None, map(only_letters, s.split()))) + " ") for s in self.samples]
-        self.weights = np.array([math.log2(max(2, a.size)) for a in self.automata])
         self._clear()
 
     def _clear(self) -> None:
@@ -101,7 +102,7 @@ class Model:
         if place == len(self.letters):
             self.costs, self.letters = np.concatenate((self.costs, np.zeros_like(self.costs))), np.concatenate((self.letters, np.zeros_like(self.letters)))
         if word:
-            self.costs[place] = [a.phrases(f" {word} ") for a in self.automata] * self.weights
+            self.costs[place] = [a.phrases(f" {word} ") for a in self.automata]
         self.letters[place] = len(word)
         self.places[raw] = place
         return place
@@ -132,22 +133,21 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Learned languages and their samples, from labelled documents that aren't held out.
 
     Labels are counted first; then each language's texts with the smallest hashes are taken, up to a threshold that leaves more than the bound asks for, and cut to the bound
-    by whole texts. What comes to the driver is LANGUAGES samples, each of SAMPLE_CHARS characters and one text more.
+    by whole texts. What comes to the driver is a sample of SAMPLE_CHARS characters and one text more for each label.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & ~is_held_out(F.col(key), folds))
-    size, long = F.length(text), (F.length(text) >= LONG).cast("int")
-    known = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), size.alias("n"), long.alias("long"), F.xxhash64(text).alias("h"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.when(F.col("long") == 0, F.col("n")).otherwise(0)).alias("chars"), F.sum(1 - F.col("long")).alias("short"))
-    counts = counts.orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()
+    size, long = F.length(text), F.length(text) >= LONG
+    known = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), size.alias("n"), long.alias("long"), F.pmod(F.xxhash64(text), F.lit(SPAN)).alias("h"))
+    counts = known.groupBy("lang", "long").agg(F.count("*").alias("rows"), F.sum("n").alias("chars")).collect()
     if not counts:
         return [], []
-    span = 1 << 30
-    # texts of a language in reach: six times the bound as hashes fall, so that cutting by whole texts never runs short
-    reach = {r["lang"]: span if not r["chars"] or r["short"] < 200 else max(1, min(span, 6 * span * SAMPLE_CHARS // r["chars"])) for r in counts}
-    limit = F.create_map(*(x for k, n in reach.items() for x in (F.lit(k), F.lit(n))))
-    few = known.where(F.pmod("h", F.lit(span)) < F.coalesce(limit[F.col("lang")], F.lit(0)))
-    before = Window.partitionBy("lang").orderBy("long", F.pmod("h", F.lit(span)), "text").rowsBetween(Window.unboundedPreceding, -1)
-    rows = few.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("ahead") < SAMPLE_CHARS).select("lang", "ahead", "text").collect()
+    bound = min(SAMPLE_CHARS, ALL_CHARS // len({r["lang"] for r in counts}))
+    # texts of a language in reach: six times the bound as hashes fall, so that cutting by whole texts never runs short, and some hundred at least
+    reach = {(r["lang"], r["long"]): min(SPAN, max(6 * SPAN * bound // r["chars"], ENOUGH * SPAN // r["rows"])) for r in counts}
+    limits = [F.create_map(*(x for (k, own), n in reach.items() if own == kind for x in (F.lit(k), F.lit(n)))) if any(own == kind for _, own in reach) else F.create_map(F.lit(""), F.lit(0)) for kind in (False, True)]
+    few = known.where(F.col("h") < F.coalesce(F.when(F.col("long"), limits[1][F.col("lang")]).otherwise(limits[0][F.col("lang")]), F.lit(0)))
+    before = Window.partitionBy("lang").orderBy("long", "h", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = few.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("ahead") < max(1, bound)).select("lang", "ahead", "text").collect()
     samples: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["ahead"])):
         samples.setdefault(r["lang"], []).append(r["text"])
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, languages: list[str], samples: list[str], keep: lis
     """The kept columns of each row with lang_pred and score. Only the text is looked at."""
     kinds = dict(docs.dtypes)
     name = hashlib.sha256(repr((languages, samples)).encode("utf-8", "surrogatepass")).hexdigest()
-    sent = docs.sparkSession.sparkContext.broadcast((languages, samples))  # bounded by LANGUAGES and SAMPLE_CHARS
+    sent = docs.sparkSession.sparkContext.broadcast((languages, samples))  # bounded by SAMPLE_CHARS and the number of labels
 
     def rows(batch: pa.RecordBatch) -> dict:
         if name not in _models:

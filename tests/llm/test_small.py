@@ -367,10 +367,29 @@ def test_language_predictions_against_brute_parsing(spark):
     for r in docs.where("length(text) between 1 and 400").limit(12).collect():
         w = [x for x in (language_id.only_letters(b.decode()) for b in r.text.encode().split()) if x]
         if w:
-            cost = [sum(phrases(f" {x} ", s) for x in w) * np.log2(len(s)) for s in learned]
+            cost = [sum(phrases(f" {x} ", s) for x in w) for s in learned]
             assert got[r.doc_id].lang_pred == languages[int(np.argmin(cost))]
 
 
+@pytest.mark.parametrize("tiny", ["a", "e t", "abc", "12 hello 345"])
+def test_a_label_with_hardly_a_text_wins_no_text(spark, tiny):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    extra = spark.createDataFrame([(next(k for k in range(10**9, 10**9 + 50) if zlib.crc32(str(k).encode()) % 5), tiny, "xx")], docs.schema)
+    languages, samples = language_id.fit(docs.unionByName(extra))
+    assert "xx" in languages
+    model = language_id.Model(languages, samples)
+    assert not [r.doc_id for r in docs.where("length(text) > 40").collect() if model.predict(r.text)[0] == "xx"]
+
+
+def test_every_label_is_learned_and_long_texts_are_bounded(spark):
+    word = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    rows = [(k, f"{word(k % 300)} " * 5, f"l{k % 300}") for k in range(3000)] + [(5000 + k, "lange texte " * 2000 + str(k), "long") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, samples = language_id.fit(docs)
+    assert len(languages) == 301
+    assert language_id.SAMPLE_CHARS * 0.6 < len(samples[languages.index("long")]) < language_id.SAMPLE_CHARS + 25_000
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
     rows = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -727,3 +746,23 @@ def test_passages_recall_against_brute_force(spark):
     truth = {d for (a, b), n in common.items() if n >= 41 and longest_alike(docs[a], docs[b]) for d in (a, b)}
     found = {r.doc_id for r in substring_dedup.find_passages(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
     assert len(truth) > 20 and len(truth & found) >= 0.99 * len(truth)
+
+
+@pytest.mark.parametrize("carriers", [30, 300])
+def test_pairs_found_around_a_quoted_passage(spark, tmp_path, carriers):
+    """100 pairs of passages of 50 words with one word changed, around 40 words that many other texts quote, and those texts left alone."""
+    rng = random.Random(1)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    common, rows = some(40), []
+    for k in range(100):
+        passage = some(5) + common + some(5)
+        edited = list(passage)
+        edited[rng.randrange(5, 45)] = "changed"
+        rows += [(2 * k + j, " ".join(some(60) + w + some(60))) for j, w in enumerate((passage, edited))]
+    rows += [(1000 + k, " ".join(some(60) + common + some(60))) for k in range(carriers)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "t"))
+    classes = {}
+    for r in substring_dedup.find_passages(spark.read.parquet(str(tmp_path / "t"))).collect():
+        classes.setdefault(r.doc_id, set()).add(r.class_id)
+    assert sum(bool(classes.get(2 * k, set()) & classes.get(2 * k + 1, set())) for k in range(100)) >= 99
+    assert max(classes) < 1000
