@@ -46,6 +46,10 @@ def required(size: Column, bold: Column) -> Column:
     return F.when(is_large(size, bold), LARGE_RATIO).otherwise(NORMAL_RATIO)
 
 
+def passes(fg: Column, bg: Column, size: Column, bold: Column) -> Column:
+    return ratio(fg, bg) >= required(size, bold)
+
+
 def is_severe(fg: Column, bg: Column, ratio_: Column) -> Column:
     """Yellow on near-white below 1.5; malformed colours aren't."""
     yellow = (channel(fg, 0) >= 200) & (channel(fg, 1) >= 200) & (channel(fg, 2) < 100)
