@@ -5,19 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import latex, text
 from plumbline.functions.repair import repaired
-from plumbline.operators import checks, structure
+from plumbline.operators import checks, matching, structure
 from plumbline.plans import actions
 from plumbline.queries.ledger import PLAN, J, judged, link_actions, page_plan
 from plumbline.queries.scalar import LIST_TYPE
 from plumbline.queries.structure import OFFICE_WEIGHTS, all_checks, styled
 from plumbline.registry import ORACLES, query
-from plumbline.shipping import ship
 from plumbline.sources import tables as s
 from plumbline.sources import twins as q
 
@@ -172,18 +170,6 @@ def c12(spark, sf):
     return s.table(spark, sf, "pages").select("page_id", (text.strip(F.regexp_extract("html", '<html lang="([^"]*)"', 1)) != "").alias("has_language"))
 
 
-def match_headings(pages: pd.DataFrame) -> pd.DataFrame:
-    """Tags of one page in order, each to its best paragraph not yet taken."""
-    taken, out = set(), []
-    for tag in sorted(set(pages.tag)):
-        own = pages[pages.tag == tag]
-        best = max(((r.score, -r.pos) for r in own.itertuples() if r.pos not in taken), default=(0, 0))
-        if best[0] > 0.1:
-            taken.add(-best[1])
-            out.append((own.doc_id.iloc[0], own.page.iloc[0], tag, -best[1], best[0]))
-    return pd.DataFrame(out, columns=["doc_id", "page", "tag", "pos", "score"])
-
-
 @query("d16_heading_match", f"""WITH {q.LINES}, p AS (SELECT doc_id, pos // 5 AS page, pos, text, list_distinct(regexp_split_to_array(lower(text), '\\s+')) AS w FROM lines),
   t AS (SELECT doc_id, page, pos AS tag, array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ') AS tt FROM p WHERE (doc_id + pos) % 3 = 0),
   x AS (SELECT p.doc_id, p.page, p.pos, tag, CASE WHEN contains(text, tt) OR contains(tt, text) THEN 1.0::DOUBLE ELSE len(list_intersect(w, list_distinct(regexp_split_to_array(lower(tt), '\\s+'))))::DOUBLE / greatest(len(w), len(list_distinct(regexp_split_to_array(lower(tt), '\\s+')))) * 0.8 END AS score,
@@ -192,16 +178,29 @@ def match_headings(pages: pd.DataFrame) -> pd.DataFrame:
   two AS (SELECT x.doc_id, x.page, x.tag, x.pos, x.score FROM x LEFT JOIN one ON one.doc_id = x.doc_id AND one.page = x.page AND one.pos = x.pos WHERE nth = 2 AND x.score > 0.1 AND one.pos IS NULL QUALIFY row_number() OVER (PARTITION BY x.doc_id, x.page ORDER BY x.score DESC, x.pos) = 1)
   SELECT * FROM one UNION ALL SELECT * FROM two""")
 def d16(spark, sf):
-    """Heading tags hold the first words of some lines; a page is five lines, so a page's pairs are 25 at most."""
-    ship(spark)
-    p = s.lines(spark, sf).withColumn("page", F.floor(F.col("pos") / 5))
-    words = F.array_distinct(F.split(F.lower("text"), r"\s+"))
-    tags = p.where("(doc_id + pos) % 3 = 0").select("doc_id", "page", F.col("pos").alias("tag"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("tag_text"))
-    pairs = p.join(tags, ["doc_id", "page"])
-    tag_words = F.array_distinct(F.split(F.lower("tag_text"), r"\s+"))
-    overlap = F.size(F.array_intersect(words, tag_words)) / F.greatest(F.size(words), F.size(tag_words)) * 0.8
-    score = F.when(F.contains("text", F.col("tag_text")) | F.contains("tag_text", F.col("text")), 1.0).otherwise(overlap)
-    return pairs.select("doc_id", "page", "pos", "tag", score.alias("score")).groupBy("doc_id", "page").applyInPandas(match_headings, "doc_id long, page long, tag long, pos long, score double")
+    return heading_matches(spark, sf, 5, 1)
+
+
+def heading_matches(spark, sf, size: int, silent: int):
+    """Heading tags hold the first words of some lines, on pages of that many; of so many tags one has no text."""
+    page, pos = F.floor(F.col("pos") / size), F.col("pos")
+    p = s.lines(spark, sf).withColumn("page", page).withColumn("fake_score", pos * 7 % 11 / 10.0)
+    words = F.array_join(F.slice(F.split("text", " "), 1, 4), " ")
+    tags = p.where("(doc_id + pos) % 3 = 0").select("doc_id", "page", pos.alias("tag"), (words if silent == 1 else F.when(pos % silent == 0, "").otherwise(words)).alias("tag_text"))
+    pairs = matching.heading_pairs(p, tags, ["doc_id", "page"]).select(F.struct("doc_id", "page").alias("grp"), F.col("tag").alias("seeker"), F.col("pos").alias("target"), "score")
+    return matching.one_use(pairs, lambda df: written(df, "parquet")).select("grp.doc_id", "grp.page", F.col("seeker").alias("tag"), F.col("target").alias("pos"), "score")
+
+
+@query("d16_heading_match_long_pages", f"""WITH RECURSIVE {q.LINES}, p AS (SELECT doc_id, pos // 12 AS page, pos, trim(text) AS text, list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS w, (pos * 7 % 11 / 10.0)::DOUBLE AS fake FROM lines),
+  t AS (SELECT doc_id, pos // 12 AS page, pos AS tag, CASE WHEN pos % 2 = 0 THEN '' ELSE trim(array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ')) END AS tt FROM lines WHERE (doc_id + pos) % 3 = 0),
+  x AS (SELECT p.doc_id, p.page, p.pos, tag, CASE WHEN tt = '' THEN CASE WHEN fake >= 0.5 THEN fake * 0.5 ELSE 0 END WHEN contains(text, tt) OR contains(tt, text) THEN 1.0::DOUBLE
+    ELSE len(list_intersect(w, list_distinct(regexp_split_to_array(lower(tt), '\\s+'))))::DOUBLE / greatest(len(w), len(list_distinct(regexp_split_to_array(lower(tt), '\\s+')))) * 0.8 END AS score FROM p JOIN t USING (doc_id, page) WHERE text <> ''),
+  c AS (SELECT doc_id, page, tag, list({{'a': pos, 'b': score}} ORDER BY score DESC, pos) AS wish, row_number() OVER (PARTITION BY doc_id, page ORDER BY tag) AS nth FROM x WHERE score > 0.1 GROUP BY doc_id, page, tag),
+  r AS (SELECT doc_id, page, 0::BIGINT AS nth, NULL::BIGINT AS tag, NULL::STRUCT(a BIGINT, b DOUBLE) AS got, []::BIGINT[] AS taken FROM (SELECT DISTINCT doc_id, page FROM c)
+    UNION ALL SELECT doc_id, page, nth, tag, got, CASE WHEN got IS NULL THEN taken ELSE list_append(taken, got.a) END FROM (SELECT c.doc_id, c.page, c.nth, c.tag, r.taken, list_filter(wish, lambda y: NOT list_contains(r.taken, y.a))[1] AS got FROM r JOIN c ON c.doc_id = r.doc_id AND c.page = r.page AND c.nth = r.nth + 1))
+  SELECT doc_id, page, tag, got.a AS pos, got.b AS score FROM r WHERE got IS NOT NULL""")
+def d16_long(spark, sf):
+    return heading_matches(spark, sf, 12, 2)
 
 
 @query("e37_tree_assessment", "SELECT page, CASE WHEN orphans > 0.2 THEN 'rebuild' WHEN content >= 20 THEN 'preserve' WHEN coverage < 0.5 THEN 'rebuild' ELSE 'preserve' END AS decision FROM (SELECT coalesce(a.page, b.page) AS page, count(*) FILTER (a.m IS NULL OR b.m IS NULL) / count(*) AS orphans, count(a.m) AS content, count(*) FILTER (a.m IS NOT NULL AND b.m IS NOT NULL) / count(*) AS coverage FROM (SELECT DISTINCT event_id // 100 AS page, event_id * 7 % 50 AS m FROM events WHERE event_id % 13 <> 0) a FULL JOIN (SELECT DISTINCT event_id // 100 AS page, event_id * 7 % 50 AS m FROM events WHERE event_id % 11 <> event_id // 100 % 7) b ON a.page = b.page AND a.m = b.m GROUP BY 1)")
@@ -223,30 +222,15 @@ def f05(spark, sf):
     return structure.fake_heading_scores(p, OFFICE_WEIGHTS, citations=False, bold_only=True).join(body, ["doc_id", "pos"]).select("doc_id", "pos", F.when(F.col("body"), F.col("score")).alias("score"))
 
 
-def keep_tables(group: pd.DataFrame) -> pd.DataFrame:
-    """Tables of one document in order; one goes if it shares 0.8 of the larger's cells with one that stayed."""
-    seen, out = [], []
-    for r in group.sort_values("table_id").itertuples():
-        cells = set(r.cells)
-        alike = any(len(cells & x) / max(len(cells), len(x)) >= 0.8 for x in seen) if cells else False
-        if not alike:
-            out.append((r.doc_id, r.table_id))
-            if cells:
-                seen.append(cells)
-    return pd.DataFrame(out, columns=["doc_id", "table_id"])
-
-
 @query("h02_table_dedup", f"""WITH RECURSIVE {q.CELLS}, t AS (SELECT doc_id, table_id, cells, row_number() OVER (PARTITION BY doc_id ORDER BY table_id) AS n FROM (SELECT table_id // 200 AS doc_id, table_id, coalesce(list_distinct(list(CASE WHEN trim(text) <> '' THEN lower(trim(text)) END)), []) AS cells FROM cells GROUP BY ALL)),
   w AS (SELECT doc_id, 0::BIGINT AS n, NULL::BIGINT AS table_id, false AS stays, []::VARCHAR[][] AS kept FROM (SELECT DISTINCT doc_id FROM t)
     UNION ALL SELECT doc_id, n, table_id, stays, CASE WHEN stays AND len(cells) > 0 THEN list_append(kept, cells) ELSE kept END FROM (SELECT w.doc_id, t.n, t.table_id, t.cells, w.kept,
       len(cells) = 0 OR len(list_filter(w.kept, lambda x: len(list_intersect(x, t.cells)) >= 0.8 * greatest(len(x), len(t.cells)))) = 0 AS stays FROM w JOIN t ON t.doc_id = w.doc_id AND t.n = w.n + 1))
   SELECT doc_id, table_id FROM w WHERE stays""")
 def h02(spark, sf):
-    """Tables of one document are held against those that stay, as the rule has it; what one task holds is a document's tables."""
-    ship(spark)
     cells = s.cells(spark, sf).withColumn("low", F.lower(text.strip(F.col("text"))))
-    t = cells.groupBy(F.floor(F.col("table_id") / 200).alias("doc_id"), "table_id").agg(F.collect_set(F.when(F.col("low") != "", F.col("low"))).alias("cells"))
-    return t.groupBy("doc_id").applyInPandas(keep_tables, "doc_id long, table_id long")
+    t = cells.groupBy(F.floor(F.col("table_id") / 200).alias("grp"), F.col("table_id").alias("id")).agg(F.collect_set(F.when(F.col("low") != "", F.col("low"))).alias("items"))
+    return matching.keep_first(t, lambda df: written(df, "parquet")).select(F.col("grp").alias("doc_id"), F.col("id").alias("table_id"))
 
 
 @query("j03_office_actions", f"WITH {q.FAULTY_ANCHORS} SELECT page_id AS doc_id, count(*) FILTER (pos % 2 = 0) AS executed, count(*) FILTER (pos % 2 = 1) AS failed FROM faulty_anchors GROUP BY 1")
