@@ -33,6 +33,50 @@ def depths(tree: DataFrame, written) -> DataFrame:
         p = p.join(above, "up", "left").select("id", "doc_id", F.when(F.col("_more").isNull(), F.col("up")).otherwise(F.col("_next")).alias("up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"))
 
 
+# The standard structure types.
+STANDARD_TAGS = (
+    "Document", "Part", "Art", "Article", "Sect", "Div", "P", "BlockQuote", "Caption", "TOC", "TOCI", "Index", "L", "LI", "Lbl", "LBody", "Table", "TR", "TH", "TD", "THead", "TBody", "TFoot",
+    "H1", "H2", "H3", "H4", "H5", "H6", "H", "Span", "Quote", "Note", "Reference", "BibEntry", "Code", "Link", "Annot", "Form", "Formula", "Figure", "Artifact",
+)
+
+
+def nearest_above(tree: DataFrame, tag: str, written) -> DataFrame:
+    """id, above of the elements (id, parent, tag) that have one of that tag over them: the nearest one. Each round doubles how far up an element looks."""
+    named = tree.select(F.col("id").alias("up"), F.when(F.col("tag") == tag, F.col("id")).alias("above"))
+    p = tree.where("parent is not null").select("id", F.col("parent").alias("up")).join(named, "up", "left").select("id", "up", "above")
+    while True:
+        p = written(p)
+        todo = p.where("above is null and up is not null").count()
+        if not todo:
+            return p.where("above is not null").select("id", "above")
+        further = p.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("above").alias("_above"))
+        done, left = p.where("above is not null or up is null"), p.where("above is null and up is not null")
+        moved = left.join(further, "up", "left").select("id", F.when(F.col("_above").isNull(), F.col("_up")).alias("up"), F.col("_above").alias("above"))
+        p = done.union(moved)
+
+
+def tree_facts(docs: DataFrame, tree: DataFrame, annotations: DataFrame, written) -> DataFrame:
+    """A row of counters for each document (doc_id, is_marked), of its structure tree (doc_id, id, parent, tag, alt, actual_text) and its link annotations (doc_id, uri, has_alt, tied).
+
+    Only elements that hang together with a root count. tables_with_th credits all tables of a document that has a header cell anywhere; tables_with_own_th are those with one below them.
+    """
+    reached = depths(tree, written).select("id", "depth")
+    e = written(tree.join(reached, "id"))
+    tag = F.col("tag")
+    n = lambda c, name: F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(name)
+    figure, told = tag == "Figure", F.col("alt") != ""
+    counts = e.groupBy("doc_id").agg(
+        F.count("tag").alias("elements"), F.max("depth").alias("depth"), n(~tag.isin(*STANDARD_TAGS), "custom"), n(figure, "figures"), n(figure & told, "figures_with_alt"), n(figure & F.col("actual_text"), "figures_with_actual_text"), n(tag == "Table", "tables"), n(tag == "TH", "th"),
+        n(tag.rlike("^H[1-6]?$"), "headings"), n(tag == "Link", "links"), n(tag == "P", "paragraphs"), n(tag == "Span", "spans"), n(tag == "L", "lists"),
+    )
+    own = nearest_above(e, "Table", written).join(e.where("tag = 'TH'").select("id", "doc_id"), "id").groupBy("doc_id").agg(F.count_distinct("above").alias("tables_with_own_th"))
+    linked = annotations.groupBy("doc_id").agg(F.count("*").alias("annotations"), n(F.col("uri").startswith("http") | F.col("uri").startswith("mailto:"), "annotations_valid"), n(F.col("has_alt"), "annotations_with_alt"), n(F.col("tied"), "annotations_tied"))
+    out = docs.join(counts, "doc_id", "left").join(own, "doc_id", "left").join(linked, "doc_id", "left")
+    credited = F.when((F.col("tables") > 0) & (F.col("th") > 0), F.col("tables")).otherwise(0)
+    out = out.select("*", F.col("elements").isNotNull().alias("has_tree"), F.round(F.col("custom") / F.col("elements"), 6).alias("custom_ratio"), credited.alias("tables_with_th"))
+    return out.fillna(0, [c for c in out.columns if c not in ("doc_id", "is_marked", "has_tree", "depth", "custom_ratio")])
+
+
 def heading_issues(paragraphs: DataFrame) -> DataFrame:
     """doc_id, pos, issue, suggested of paragraphs (doc_id, pos, heading_level): no first level, several, skipped levels."""
     w = along("pos")

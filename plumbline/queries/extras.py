@@ -285,3 +285,30 @@ def k05s(spark, sf):
     return hourly_counts(spark, f"{sf}/events.parquet", shared(spark, "stream"))
 
 
+@query("k01_rate_limiter_stream", ORACLES["k01_rate_limiter"])
+def k01s(spark, sf):
+    from plumbline.streaming.limits import limited_in_parts
+
+    e = s.table(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
+    return limited_in_parts(e, 3, 36_000.0, shared(spark, "limiter"))
+
+
+FACTS = ("Document", "Sect", "Figure", "Table", "TR", "TH", "TD", "H1", "H3", "H", "P", "Span", "L", "Link", "MyTag", "P")
+
+
+@query("a15_structure_facts", f"""WITH RECURSIVE t AS (SELECT event_id AS id, CASE WHEN event_id % 50 > 0 THEN event_id - 1 - event_id % 3 * (event_id % 50 > 3)::INT END AS parent, event_id // 50 AS doc_id, ({list(FACTS)!r})[event_id * 7 % 16 + 1] AS tag, CASE WHEN event_id % 3 = 0 THEN 'alt ' || event_id WHEN event_id % 3 = 1 THEN '' END AS alt, event_id % 5 = 0 AS actual FROM events WHERE event_id % 50 <> 37),
+  w AS (SELECT id, doc_id, tag, alt, actual, 0 AS depth, NULL::BIGINT AS grid FROM t WHERE parent IS NULL UNION ALL SELECT t.id, t.doc_id, t.tag, t.alt, t.actual, w.depth + 1, CASE WHEN w.tag = 'Table' THEN w.id ELSE w.grid END FROM t JOIN w ON t.parent = w.id),
+  f AS (SELECT doc_id, count(*) AS elements, max(depth)::BIGINT AS depth, count(*) FILTER (tag = 'MyTag') AS custom, count(*) FILTER (tag = 'Figure') AS figures, count(*) FILTER (tag = 'Figure' AND alt <> '') AS figures_with_alt, count(*) FILTER (tag = 'Figure' AND actual) AS figures_with_actual_text,
+    count(*) FILTER (tag = 'Table') AS tables, count(*) FILTER (tag = 'TH') AS th, count(*) FILTER (tag IN ('H', 'H1', 'H3')) AS headings, count(*) FILTER (tag = 'Link') AS links, count(*) FILTER (tag = 'P') AS paragraphs, count(*) FILTER (tag = 'Span') AS spans, count(*) FILTER (tag = 'L') AS lists,
+    count(DISTINCT CASE WHEN tag = 'TH' THEN grid END) AS tables_with_own_th FROM w GROUP BY 1)
+  SELECT page_id AS doc_id, page_id % 4 > 0 AS is_marked, f.doc_id IS NOT NULL AS has_tree, coalesce(elements, 0) AS elements, depth, coalesce(custom, 0) AS custom, round(custom / elements, 6) AS custom_ratio, coalesce(figures, 0) AS figures, coalesce(figures_with_alt, 0) AS figures_with_alt, coalesce(figures_with_actual_text, 0) AS figures_with_actual_text,
+    coalesce(tables, 0) AS tables, coalesce(th, 0) AS th, CASE WHEN tables > 0 AND th > 0 THEN tables ELSE 0 END AS tables_with_th, coalesce(tables_with_own_th, 0) AS tables_with_own_th, coalesce(headings, 0) AS headings, coalesce(f.links, 0) AS links, coalesce(paragraphs, 0) AS paragraphs, coalesce(spans, 0) AS spans, coalesce(lists, 0) AS lists,
+    a.n AS annotations, a.valid AS annotations_valid, a.alt AS annotations_with_alt, a.tied AS annotations_tied FROM (SELECT page_id, count(*) AS n, count(*) FILTER (url LIKE 'http%' OR url LIKE 'mailto:%') AS valid, count(*) FILTER (pos % 2 = 0) AS alt, count(*) FILTER (pos % 3 = 0) AS tied FROM faulty_anchors GROUP BY 1) a LEFT JOIN f ON f.doc_id = page_id""".replace("WITH RECURSIVE t AS", "WITH RECURSIVE " + q.FAULTY_ANCHORS + ", t AS", 1))
+def a15_facts(spark, sf):
+    k = F.col("event_id")
+    tag = F.element_at(F.array(*map(F.lit, FACTS)), (k * 7 % 16 + 1).cast("int"))
+    alt = F.when(k % 3 == 0, F.concat(F.lit("alt "), k.cast("string"))).when(k % 3 == 1, "")
+    tree = s.table(spark, sf, "events").where("event_id % 50 <> 37").select(k.alias("id"), F.when(k % 50 > 0, k - 1 - k % 3 * (k % 50 > 3).cast("int")).alias("parent"), F.floor(k / 50).alias("doc_id"), tag.alias("tag"), alt.alias("alt"), (k % 5 == 0).alias("actual_text"))
+    docs = s.faulty_anchors(spark, sf).select(F.col("page_id").alias("doc_id")).distinct().withColumn("is_marked", F.col("doc_id") % 4 > 0)
+    links = s.faulty_anchors(spark, sf).select(F.col("page_id").alias("doc_id"), F.col("url").alias("uri"), (F.col("pos") % 2 == 0).alias("has_alt"), (F.col("pos") % 3 == 0).alias("tied"))
+    return structure.tree_facts(docs, tree, links, lambda df: written(df, "parquet"))

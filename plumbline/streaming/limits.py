@@ -19,35 +19,63 @@ def events_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name if not name.endswith("/") else "*").parquet(folder)
 
 
-def hourly_counts(spark: SparkSession, path: str, out: str) -> DataFrame:
-    """user_id, hour, n: tumbling windows with a watermark, run over what is there and written in complete windows."""
-    counted = events_stream(spark, path).withColumn("t", F.col("ts").cast("timestamp")).groupBy("user_id", F.window("t", "1 hour").alias("w")).agg(F.count("*").alias("n"))
+def _kept_by_batch(out: str):
+    """A sink that keeps each micro-batch's rows in a folder of its own, so that a batch that runs again replaces its rows."""
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n").write.mode("overwrite").parquet(f"{out}/rows")
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+    return keep
+
+
+def hourly_counts(spark: SparkSession, path: str, out: str) -> DataFrame:
+    """user_id, hour, n: tumbling windows; a batch puts out the windows that it changed, and windows older than the watermark leave the state."""
+    timed = events_stream(spark, path).withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "1 hour")
+    counted = timed.groupBy("user_id", F.window("t", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n")
+    counted.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{out}/state").foreachBatch(_kept_by_batch(out)).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").groupBy("user_id", "hour").agg(F.max_by("n", "batch").alias("n"))
 
-    run = counted.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{out}/state").foreachBatch(keep).start()
-    run.awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
 
+def limited(stream: DataFrame, most: int, window: float, delay: str = "1 hour") -> DataFrame:
+    """user_id, event_id, allowed, retry of a stream (user_id, event_id, t as seconds), decided in the order of time and event_id whatever order they come in.
 
-def limited(stream: DataFrame, most: int, window: float) -> DataFrame:
-    """user_id, event_id, allowed, retry of a stream (user_id, event_id, t): a user's state is the times still in the window, and goes after an idle hour."""
+    Events wait in their user's state until the watermark, delay behind the latest event of all, has passed them: so batches and frames may be out of order by that much, later ones are dropped. The times still in the window stay
+    with them; a user whose window has emptied leaves the state. Rows without an event_id only move the watermark.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = list(state.get[0]) if state.exists else []
+        kept, waiting = (list(state.get[0]), list(zip(state.get[1], state.get[2], strict=True))) if state.exists else ([], [])
         for frame in frames:
-            frame = frame.sort_values(["t", "event_id"])
-            times = frame.t.tolist()
-            found = allowed([*kept, *times], most, window)[len(kept) :]
-            kept = [*kept, *(t for t, (ok, _) in zip(times, found, strict=True) if ok)]
-            kept = [t for t in kept if t > times[-1] - window] if times else kept
-            yield pd.DataFrame({"user_id": key[0], "event_id": frame.event_id, "allowed": [x[0] for x in found], "retry": [x[1] for x in found]})
-        state.update((kept,))
-        state.setTimeoutDuration(3_600_000)
+            waiting += [(t, int(e)) for t, e in zip(frame.t.tolist(), frame.event_id.tolist(), strict=True) if not pd.isna(e)]
+        until = state.getCurrentWatermarkMs() / 1000
+        ready, waiting = sorted(x for x in waiting if x[0] <= until), [x for x in waiting if x[0] > until]
+        found = allowed([*kept, *(t for t, _ in ready)], most, window)[len(kept) :]
+        kept = [*kept, *(t for (t, _), (ok, _) in zip(ready, found, strict=True) if ok)]
+        kept = [t for t in kept if t > until - window]
+        if ready:
+            yield pd.DataFrame({"user_id": key[0], "event_id": [e for _, e in ready], "allowed": [x[0] for x in found], "retry": [x[1] for x in found]})
+        if kept or waiting:
+            state.update((kept, [t for t, _ in waiting], [e for _, e in waiting]))
+            state.setTimeoutTimestamp(int(1000 * max(min([t for t, _ in waiting], default=kept[0] + window if kept else until), until)) + 1)
+        elif state.exists:
+            state.remove()
 
     ship(stream.sparkSession)
-    return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, allowed boolean, retry long", "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = stream.withColumn("at", F.col("t").cast("timestamp")).withWatermark("at", delay)
+    return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, allowed boolean, retry long", "kept array<double>, times array<double>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def limited_in_parts(events: DataFrame, most: int, window: float, out: str, parts: int = 4) -> DataFrame:
+    """The events as a stream that comes in so many parts, each one a run that goes on from the last one's checkpoint; at the end a row without an event moves the watermark past all."""
+    spark = events.sparkSession
+    ends = events.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    if ends.a is None:
+        return spark.createDataFrame([], "user_id long, event_id long, allowed boolean, retry long")
+    width = (ends.b - ends.a) / parts or 1.0
+    part = F.least(F.floor((F.col("t") - ends.a) / width), F.lit(parts - 1))
+    for k in range(parts + 1):
+        rows = events.where(part == k) if k < parts else spark.createDataFrame([(-1, None, ends.b + 10 * window)], "user_id long, event_id long, t double")
+        rows.select("user_id", "event_id", "t").write.mode("append").parquet(f"{out}/in")
+        stream = spark.readStream.schema("user_id long, event_id long, t double").parquet(f"{out}/in")
+        limited(stream, most, window).writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{out}/state").foreachBatch(_kept_by_batch(out)).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").drop("batch")
