@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.repair import repaired
 from plumbline.functions import text
 from plumbline.operators import checks, ledger
-from plumbline.plans import actions
+from plumbline.plans import actions, outcomes
 from plumbline.queries.scalar import LIST_TYPE
 from plumbline.queries.structure import ISSUES
 from plumbline.registry import query
@@ -292,8 +292,9 @@ def e27(spark, sf):
 
 @query("e28_remediation_roll_up", f"{J} SELECT batch_id, count(*) AS docs, sum(id % 12)::BIGINT AS before, sum(id % 5)::BIGINT AS after, round(sum(cost), 2) AS cost, list_sort(list(pages))[count(*) // 2 + 1] AS median_pages FROM jobs GROUP BY 1")
 def e28(spark, sf):
-    g = s.jobs(spark, sf).groupBy("batch_id").agg(F.count("*").alias("docs"), F.sum(F.col("id") % 12).alias("before"), F.sum(F.col("id") % 5).alias("after"), F.round(F.sum("cost"), 2).alias("cost"), F.sort_array(F.collect_list("pages")).alias("p"))
-    return g.select("batch_id", "docs", "before", "after", "cost", F.element_at("p", (F.floor(F.size("p") / 2) + 1).cast("int")).alias("median_pages"))
+    jobs = s.jobs(spark, sf)
+    g = jobs.groupBy("batch_id").agg(F.count("*").alias("docs"), F.sum(F.col("id") % 12).alias("before"), F.sum(F.col("id") % 5).alias("after"), F.round(F.sum("cost"), 2).alias("cost"))
+    return g.join(outcomes.order_statistic(jobs, "batch_id", "pages").withColumnRenamed("pages", "median_pages"), "batch_id")
 
 
 @query("e29_batch_report", f"{J} SELECT count(*) AS docs, sum(greatest(id % 12 - id % 5, 0))::BIGINT AS fixed, count(*) FILTER (status <> 'completed') AS failures, round(sum(cost), 1) AS cost FROM jobs")

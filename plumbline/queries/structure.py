@@ -383,7 +383,7 @@ def i09(spark, sf):
 CANDIDATES = ORACLES["f04_heading_score_office"].replace(q.FAULTY_LINES, q.OUTLINED).replace("(doc_id + pos) % 4 = 0 AS bold", "doc_id % 3 <> 1 AND (doc_id + pos) % 4 = 0 AS bold")
 STRUCTURE = f"""h AS (SELECT doc_id, count(*) AS n, bool_or(issue IN ('no_h1', 'skipped_level')) AS errors FROM ({ORACLES["f01_heading_hierarchy"].replace(q.FAULTY_LINES, q.OUTLINED)}) GROUP BY 1),
   f AS (SELECT doc_id, count(*) AS n FROM ({CANDIDATES}) WHERE score >= 0.5 GROUP BY 1), p AS (WITH {q.LINES} SELECT doc_id, count(*) AS n FROM lines GROUP BY 1),
-  t AS (WITH {q.CELLS}, x AS (SELECT table_id // 40 AS doc_id, table_id, (max(header_rows) = 0)::INT + bool_or(span > 1)::INT AS issues, count(*) FILTER (r < header_rows) AS th FROM cells WHERE table_id // 40 % 2 = 1 AND table_id % 40 < 8 GROUP BY ALL)
+  t AS (WITH {q.CELLS}, x AS (SELECT any_value(table_id // 40) AS doc_id, table_id, CASE WHEN table_id // 40 % 2 = 0 THEN 0 ELSE (max(header_rows) = 0)::INT + bool_or(span > 1)::INT END AS issues, count(*) FILTER (r < header_rows OR r = 0 AND table_id // 40 % 2 = 0) AS th FROM cells GROUP BY table_id)
     SELECT doc_id, count(*) AS n, sum(issues) + CASE WHEN count(*) > 1 AND doc_id % 4 = 1 THEN count(*) FILTER (th = 0) ELSE 0 END AS issues FROM x GROUP BY 1),
   s AS (SELECT doc_id, CASE WHEN errors THEN 'fail' WHEN coalesce(h.n, 0) + coalesce(f.n, 0) + coalesce(t.issues, 0) > 0 THEN 'warn' ELSE 'pass' END AS status, (p.n + coalesce(t.n, 0))::BIGINT AS items, (coalesce(h.n, 0) + coalesce(f.n, 0) + coalesce(t.issues, 0))::BIGINT AS issues
     FROM p LEFT JOIN h USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN t USING (doc_id))"""

@@ -80,7 +80,7 @@ BOXES = """boxes AS (SELECT p // 100 AS doc_id, ((p // 20) % 5)::INT AS page, p
   40 + p * 13 % 400 + 60 + p % 90 AS x1, 30 + p * 29 % 700 + 12 AS y1, CASE WHEN p // 20 % 7 = 3 THEN p % 3 WHEN p * 29 % 700 < 50 THEN 40 + p % 2 ELSE p % 37 END AS n_chars FROM (SELECT p_partkey AS p FROM part))"""
 
 JOBS = """jobs AS (SELECT o_orderkey AS id, o_custkey AS user_id, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'processing' ELSE 'completed' END AS status,
-  o_orderdate::DATE AS created_at, o_totalprice::DOUBLE AS cost, 1 + o_orderkey % 30 AS pages, o_orderkey % 200 AS batch_id FROM orders)"""
+  o_orderdate::DATE AS created_at, o_totalprice::DOUBLE AS cost, 1 + o_orderkey % 30 AS pages, o_orderkey // 50 AS batch_id FROM orders)"""
 
 OUTLINED = (
     FAULTY_LINES.replace("faulty AS", "raw AS")
