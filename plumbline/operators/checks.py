@@ -121,3 +121,13 @@ def accuracy(judged: DataFrame) -> DataFrame:
     """task (null: all), n, correct, accuracy of rows (task, gold, predicted)."""
     g = judged.rollup("task").agg(F.count("*").alias("n"), F.sum((F.col("gold") == F.col("predicted")).cast("int")).alias("correct"))
     return g.select(F.coalesce("task", F.lit("(all)")).alias("task"), "n", "correct", F.round(F.col("correct") / F.col("n"), 6).alias("accuracy"))
+
+
+def confusion_report(judged: DataFrame, labels: list) -> DataFrame:
+    """value: for each task of judged (task, gold, predicted) its confusion matrix as a Markdown table under a heading."""
+    n = lambda v: F.sum((F.col("predicted") == v).cast("int"))
+    rows = judged.groupBy("task", "gold").agg(F.count("*").alias("total"), F.concat_ws(" | ", *(n(v).cast("string") for v in labels)).alias("counts"))
+    line = F.concat(F.lit("| "), F.col("gold").cast("string"), F.lit(" | "), F.col("counts"), F.lit(" |"))
+    g = rows.groupBy("task").agg(F.sum("total").alias("total"), F.sort_array(F.collect_list(F.struct("gold", line.alias("line")))).alias("x"))
+    head = F.lit("| gold | " + " | ".join(map(str, labels)) + " |\n|" + "---|" * (len(labels) + 1))
+    return g.select(F.concat_ws("\n", F.format_string("## %s (%d)", "task", "total"), head, F.array_join(F.transform("x", lambda x: x["line"]), "\n")).alias("value"))

@@ -101,3 +101,16 @@ def deduct(requests: DataFrame) -> DataFrame:
     ship(requests.sparkSession)
     dealt = requests.select("user_id", "seq", "pages", "start").repartition("user_id").sortWithinPartitions("user_id", "seq")
     return dealt.mapInPandas(fold, "user_id long, seq long, granted boolean, balance long")
+
+
+def inserted(jobs: DataFrame, asked: DataFrame, order: str, written) -> DataFrame:
+    """jobs (id, user_id, status, pages) with a queued row for each of asked (user_id, pages, ...), numbered on from the largest id in the order of that column.
+
+    Numbers come from a range sort and a running count of its parts' sizes, so no task holds all that is asked.
+    """
+    last = jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).first()["last"]
+    dealt = written(asked.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    parts = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    parts = parts.select("_part", (F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("_first")).alias("_shift"))
+    new = dealt.join(parts, "_part").select((F.lit(last) + F.col("_at") + F.col("_shift") + 1).alias("id"), "user_id", F.lit("queued").alias("status"), "pages")
+    return jobs.unionByName(new)

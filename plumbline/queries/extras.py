@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import latex, text
 from plumbline.functions.repair import repaired
-from plumbline.operators import checks, matching, structure
+from plumbline.operators import checks, ledger, matching, structure
 from plumbline.plans import actions
-from plumbline.queries.ledger import PLAN, J, judged, link_actions, page_plan
+from plumbline.queries.ledger import JUDGED, PLAN, J, judged, link_actions, page_plan
 from plumbline.queries.scalar import LIST_TYPE
 from plumbline.queries.structure import OFFICE_WEIGHTS, all_checks, styled
 from plumbline.registry import ORACLES, query
@@ -312,3 +312,15 @@ def a15_facts(spark, sf):
     docs = s.faulty_anchors(spark, sf).select(F.col("page_id").alias("doc_id")).distinct().withColumn("is_marked", F.col("doc_id") % 4 > 0)
     links = s.faulty_anchors(spark, sf).select(F.col("page_id").alias("doc_id"), F.col("url").alias("uri"), (F.col("pos") % 2 == 0).alias("has_alt"), (F.col("pos") % 3 == 0).alias("tied"))
     return structure.tree_facts(docs, tree, links, lambda df: written(df, "parquet"))
+
+
+@query("a35_confusion_report", f"""WITH {JUDGED}, n AS (SELECT task, gold, predicted, count(*) AS n FROM judged GROUP BY ALL), t AS (SELECT task, string_agg(x, chr(10) ORDER BY gold) AS rows, sum(total)::BIGINT AS total FROM (SELECT task, gold, '| ' || gold || ' | ' || coalesce(sum(n) FILTER (predicted = 0), 0) || ' | ' || coalesce(sum(n) FILTER (predicted = 1), 0) || ' |' AS x, sum(n) AS total FROM n GROUP BY task, gold) GROUP BY 1)
+  SELECT '## ' || task || ' (' || total || ')' || chr(10) || '| gold | 0 | 1 |' || chr(10) || '|---|---|---|' || chr(10) || rows AS value FROM t""")
+def a35_confusion(spark, sf):
+    return checks.confusion_report(judged(spark, sf), [0, 1])
+
+
+@query("l01_insert_job_rows", f"{J} SELECT id, user_id, status, pages FROM jobs UNION ALL SELECT max(id) OVER () + row_number() OVER (ORDER BY id), user_id, 'queued', pages FROM (SELECT id, user_id, pages FROM jobs WHERE id % 10 = 3)".replace("SELECT max(id) OVER () + row_number() OVER (ORDER BY id), user_id", "SELECT (SELECT max(id) FROM jobs) + row_number() OVER (ORDER BY id), user_id"))
+def l01_rows(spark, sf):
+    jobs = s.jobs(spark, sf).select("id", "user_id", "status", "pages")
+    return ledger.inserted(jobs, jobs.where("id % 10 = 3").select(F.col("id").alias("asked"), "user_id", "pages"), "asked", lambda df: written(df, "parquet"))

@@ -117,3 +117,22 @@ def a05_math(spark, sf):
   SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY place) - 1)::INT AS seq, kind, id FROM found""")
 def a05_order(spark, sf):
     return _frame(spark, sf, "order")
+
+
+def _escaped(c: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        c = f"replace({c}, '{a}', '{b}')"
+    return c
+
+
+@query("a23_html_of_model", f"""WITH {SCAN}, cell_html AS (SELECT page_id, grid, r, c, head, CASE WHEN head THEN '<th scope="col">' || {_escaped('text')} || '</th>' ELSE '<td>' || {_escaped('text')} || '</td>' END AS h FROM cells),
+  row_html AS (SELECT page_id, grid, r, bool_and(head) AS head, '<tr>' || string_agg(h, '' ORDER BY c) || '</tr>' AS h FROM cell_html GROUP BY ALL),
+  parts_html AS (SELECT page_id, place, CASE WHEN heading_level IS NOT NULL THEN '<h' || heading_level || '>' || {_escaped('text')} || '</h' || heading_level || '>' WHEN text LIKE '<pre class="algorithm">%' THEN text ELSE '<p>' || {_escaped('text')} || '</p>' END AS h FROM paragraphs
+    UNION ALL SELECT page_id, grid, '<table>' || coalesce('<thead>' || string_agg(h, '' ORDER BY r) FILTER (head) || '</thead>', '') || coalesce('<tbody>' || string_agg(h, '' ORDER BY r) FILTER (NOT head) || '</tbody>', '') || '</table>' FROM row_html GROUP BY page_id, grid
+    UNION ALL SELECT page_id, pos, '<img alt="' || regexp_extract(tok, 'alt="([^"]*)"', 1) || '" src="' || regexp_extract(tok, 'src="([^"]*)"', 1) || '">' FROM scan WHERE tag = 'img' AND kind = 'open'
+    UNION ALL SELECT page_id, pos, '<div role="math">' || regexp_extract(tok, 'alttext="([^"]*)"', 1) || '</div>' FROM scan WHERE counts AND equation),
+  bodies AS (SELECT page_id, string_agg(h, '' ORDER BY place) AS h FROM parts_html GROUP BY 1)
+  SELECT page_id, '<!DOCTYPE html><html lang="' || regexp_extract(html, '<html lang="([^"]*)"', 1) || '"><head><title>' || {_escaped(q.STRIP.format(_plain("regexp_extract(html, '<title>([^<]*)</title>', 1)")))} || '</title></head><body>' || coalesce(h, '') || '</body></html>' AS html FROM rich LEFT JOIN bodies USING (page_id)""")
+def a23_model(spark, sf):
+    pages = s.rich_pages(spark, sf)
+    return html.render(pages, html.nested(html.tokens(pages)))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import latex
-from plumbline.functions.text import mime, strip
+from plumbline.functions.text import escape_html, mime, strip
 
 # Element names and class names that results depend on.
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -189,3 +189,27 @@ def frames(scan: DataFrame) -> dict[str, DataFrame]:
     grids = tables(grid)
     named = grid.join(grids.select("page_id", "at", "id"), ["page_id", "at"])
     return {"paragraphs": texts, "tables": grids, "cells": named, "images": images(scan), "math": formulas(scan, texts), "order": order(scan, texts, grids)}
+
+
+def render(pages: DataFrame, scan: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """page_id, html: the model written as a page again, its paragraphs, tables, images and block equations in their order; what pages hold besides is left out."""
+    found = frames(scan)
+    text = escape_html(F.col("text"))
+    level = F.col("heading_level").cast("string")
+    coded = F.col("text").startswith('<pre class="algorithm">')
+    paragraph = F.when(level.isNotNull(), F.concat(F.lit("<h"), level, F.lit(">"), text, F.lit("</h"), level, F.lit(">"))).when(coded, F.col("text")).otherwise(F.concat(F.lit("<p>"), text, F.lit("</p>")))
+    cell = F.when(F.col("header"), F.concat(F.lit('<th scope="col">'), text, F.lit("</th>"))).otherwise(F.concat(F.lit("<td>"), text, F.lit("</td>")))
+    joined = lambda parts, name: F.array_join(F.transform(F.sort_array(F.collect_list(parts)), lambda x: x[name]), "")
+    rows = found["cells"].groupBy("page_id", "at", "r").agg(F.concat(F.lit("<tr>"), joined(F.struct("c", cell.alias("h")), "h"), F.lit("</tr>")).alias("row"), F.bool_and("header").alias("head"))
+    part = lambda own, tag: F.when(F.count(F.when(own, 1)) > 0, F.concat(F.lit(f"<{tag}>"), joined(F.when(own, F.struct("r", "row")), "row"), F.lit(f"</{tag}>"))).otherwise("")
+    grids = rows.groupBy("page_id", "at").agg(F.concat(F.lit("<table>"), part(F.col("head"), "thead"), part(~F.col("head"), "tbody"), F.lit("</table>")).alias("part"))
+    alt, src = escape_html(F.col("alt")), escape_html(F.col("src"))
+    images_ = found["images"].select("page_id", "at", F.concat(F.lit('<img alt="'), alt, F.lit('" src="'), src, F.lit('">')).alias("part"))
+    equations = found["math"].where("display = 'block' AND drawing IS NULL").select("page_id", "at", F.concat(F.lit('<div role="math">'), escape_html(F.col("latex")), F.lit("</div>")).alias("part"))
+    both = reduce(DataFrame.unionByName, [found["paragraphs"].select("page_id", "at", paragraph.alias("part")), grids, images_, equations])
+    bodies = both.groupBy("page_id").agg(joined(F.struct("at", "part"), "part").alias("body"))
+    title = escape_html(strip(unescaped(F.regexp_extract(html, "(?is)<title[^>]*>([^<]*)</title", 1))))
+    lang = F.regexp_extract(html, r"""(?is)<html\b[^>]*?\slang\s*=\s*["']([^"']*)["']""", 1)
+    head = F.concat(F.lit('<!DOCTYPE html><html lang="'), F.when(lang == "", "en").otherwise(lang), F.lit('"><head><title>'), title, F.lit("</title></head><body>"))
+    named = pages.select(F.col(key).alias("page_id"), head.alias("head"))
+    return named.join(bodies, "page_id", "left").select("page_id", F.concat("head", F.coalesce("body", F.lit("")), F.lit("</body></html>")).alias("html"))
