@@ -240,6 +240,13 @@ def _sets(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, rows, "id bigint, h binary")
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the values are among the known ones, which are sorted: by binary search, the known ones may be many."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(key, id, n): the first shingles of each text of n different ones, as many as two alike sets can't both do without.
 
@@ -256,7 +263,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         for batch in batches:
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h = shingle_hashes(text.as_py())
-                first = h[np.argsort(np.isin(h, frequent), kind="stable")][: len(h) - int(np.ceil(SIMILARITY * len(h) - 1e-9)) + 1]
+                first = h[np.argsort(_among(h, frequent), kind="stable")][: len(h) - int(np.ceil(SIMILARITY * len(h) - 1e-9)) + 1]
                 keys.append(first)
                 ids.append(k)
                 sizes.append(len(h))
@@ -330,7 +337,7 @@ def alike_links(scratch: Scratch, docs: DataFrame) -> DataFrame:
 
     share = max(1, docs.count() // SAMPLE)
     sample = map_arrow(docs.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0), known, "h array<bigint>").select(F.explode("h").alias("h")).groupBy("h").count().where("count > 2")
-    frequent = np.array([r.h for r in sample.orderBy(F.desc("count"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64)
+    frequent = np.sort(np.array([r.h for r in sample.orderBy(F.desc("count"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64))
     dealt = scratch.write(_prefixes(docs, frequent))
     groups = dealt.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("most"), F.min_by("n", "id").alias("head_n")).where("head < most").drop("most")
     members = scratch.write(dealt.join(groups, "key"))
