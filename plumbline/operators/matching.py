@@ -1,7 +1,7 @@
 """Sequential choices as rounds over frames: keeping the first of alike sets, and giving each target to one seeker.
 
 Both rules go one after another in a fixed order, and both come out the same if everything that can be decided is decided at once, round after round. A round is a few joins; no group is held in one task.
-``written`` stores a round's rows and gives them back.
+``written`` stores a round's rows and gives them back. Groups are never null.
 """
 
 from __future__ import annotations
