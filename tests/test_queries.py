@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from plumbline.operators.ledger import allowed
 from plumbline.queries import ORACLES, QUERIES
@@ -95,3 +96,13 @@ def test_depths_leave_out_cycles(spark):
     tree = spark.createDataFrame([(k, k - 1 if k else None, 0) for k in range(40)] + [(100, 101, 1), (101, 100, 1), (200, 999, 2)], "id long, parent long, doc_id long")
     kept = {r.id: r.depth for r in depths(tree, lambda df: spark.createDataFrame(df.collect(), df.schema)).collect()}
     assert kept == {k: k for k in range(40)}
+
+
+def test_trailing_hour_counts_to_the_nearest_second(spark, duck, tmp_path):
+    """Two events 3,600 seconds and a fraction apart: rounded to seconds they are one hour apart, or one second more."""
+    times = ["10:00:00.6", "11:00:01.4", "11:00:01.5", "11:00:02.5", "12:00:01.7", "12:00:02.4"]
+    rows = [(k, u, f"2024-01-01 {t}") for u in (1, 2) for k, t in enumerate(times[u - 1 :], 10 * u)] + [(30, 1, None), (31, None, "2024-01-01 10:00:00.5")]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts string").withColumn("ts", F.to_timestamp_ntz("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    ours = {(r.event_id, r.n) for r in QUERIES["k05_trailing_hour"](spark, str(tmp_path)).collect()}
+    sql = ORACLES["k05_trailing_hour"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert ours == set(duck.execute(sql).fetchall())
