@@ -106,3 +106,8 @@ def test_trailing_hour_counts_to_the_nearest_second(spark, duck, tmp_path):
     ours = {(r.event_id, r.n) for r in QUERIES["k05_trailing_hour"](spark, str(tmp_path)).collect()}
     sql = ORACLES["k05_trailing_hour"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
     assert ours == set(duck.execute(sql).fetchall())
+
+
+def test_batch_jobs_are_one_of_two_hundred(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey % 200 = 17").count()
+    assert QUERIES["g02_batch_jobs"](spark, SF).count() == orders > 0
