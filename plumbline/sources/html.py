@@ -2,7 +2,7 @@
 
 A page is cut into tokens (tags, texts, and whole comments, scripts, formulas and error marks); running sums over its tokens give the nesting, and what encloses a token is the last element opened
 at its depth. Paragraphs and headings end where any block begins or ends, so a tag that is never closed costs nothing but itself; tables may be nested, their text belongs to the innermost.
-One shuffle by page serves all of it. A page's tokens are sorted in one task, so a page has to fit there; pages are as many as you like.
+One shuffle by page serves all of it, in tasks of ``HTML_PER_TASK`` characters of pages or thereabouts: the sorts of a task hold 50 to 100 times that. A page's tokens are sorted in one task, so a page has to fit there; pages are as many as you like.
 
 ``model`` gives frames of paragraphs, tables, cells, images, formulas and the order of contents. Ids count from zero on each page: p_N, tbl_N, img_N, math_N.
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import latex
 from plumbline.functions.text import escape_html, mime, strip
+from plumbline.operators.spread import dealt_out
 
 # Element names and class names that results depend on.
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -28,6 +29,8 @@ ERROR = r"<span\b[^>]*\bltx_ERROR\b[^>]*>[^<]*</span\s*>"
 NUMBER = r"<span\b[^>]*\bltx_tag_equation\b[^>]*>[^<]*</span\s*>"
 TOKEN = rf"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<math\b.*?</math\s*>|{ERROR}|{NUMBER}|<[^>]*>?|[^<]+"
 COMMAND = r"\\[A-Za-z]+\*?"
+#: Characters of pages whose tokens one task sorts.
+HTML_PER_TASK = 2_000_000
 
 
 def attribute(token: Column, name: str) -> Column:
@@ -59,7 +62,8 @@ def tokens(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFr
         .otherwise("open")
     )
     whole = ~tok.startswith("<") | ((F.col("tag") != "") & ~F.col("tag").isin("script", "style") & tok.endswith(">"))
-    return found.withColumn("tag", tag).where(whole).withColumn("kind", kind)
+    kinds = found.withColumn("tag", tag).where(whole).withColumn("kind", kind)
+    return dealt_out(kinds, "page_id", of=pages, size=F.length(html), most=HTML_PER_TASK)
 
 
 def nested(found: DataFrame) -> DataFrame:
@@ -129,7 +133,8 @@ def paragraphs(scan: DataFrame) -> DataFrame:
     )
     level = F.when(F.col("tag") != "p", F.substring("tag", 2, 1).cast("int"))
     ids = F.when(F.col("tag") == "p", F.filter(F.transform("parts", lambda x: x["math"]), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
-    out = g.select("page_id", "at", text.alias("text"), level.alias("heading_level"), ids.alias("math_ids"), F.when(drawn, plain).alias("drawing")).where("text <> ''")
+    # the filter on what explode gives stays above it, so texts are made once
+    out = g.select("page_id", "at", F.explode(F.array(text)).alias("text"), level.alias("heading_level"), ids.alias("math_ids"), F.when(drawn, plain).alias("drawing")).where("text <> ''")
     return out.withColumn("id", F.format_string("p_%d", F.row_number().over(Window.partitionBy("page_id").orderBy("at")) - 1))
 
 

@@ -4,6 +4,7 @@ from html.parser import HTMLParser
 
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from plumbline.functions import latex
 from plumbline.sources import html
@@ -131,3 +132,11 @@ def test_braces_are_matched(spark, source, tokens):
 
     row = spark.createDataFrame([(source,)], "t string").select(latex.command_tokens(F.col("t")).alias("k"), latex.pseudocode(F.lit(None).cast("string")).alias("p")).first()
     assert row.k == tokens and row.p is None
+
+
+def test_tasks_grow_in_number_with_the_pages(spark, monkeypatch):
+    """What one task sorts is bounded, whatever spark.sql.shuffle.partitions says."""
+    monkeypatch.setattr(html, "HTML_PER_TASK", 1000)
+    pages = spark.range(300).selectExpr("id page_id", "repeat('<p>some text</p>', 10) html")
+    parts = html.nested(html.tokens(pages)).groupBy(F.spark_partition_id()).agg(F.countDistinct("page_id").alias("n")).collect()
+    assert len(parts) > 30 and max(p.n for p in parts) < 30
