@@ -27,9 +27,19 @@ CLOSES = ("\\EndFunction", "\\EndProcedure", "\\EndIf", "\\EndFor", "\\EndWhile"
 
 def symbols(c: Column) -> Column:
     """Known commands as their characters, one after another in this order; other commands lose the backslash."""
-    for command, character in SYMBOLS:
-        c = F.replace(c, F.lit(command), F.lit(character))
-    return F.regexp_replace(c, r"\\([A-Za-z]+)", "$1")
+
+    def told(x: Column) -> Column:
+        y = x
+        for command, character in SYMBOLS:
+            y = F.replace(y, F.lit(command), F.lit(character))
+        return F.when(F.contains(x, F.lit("\\")), F.regexp_replace(y, r"\\([A-Za-z]+)", "$1")).otherwise(x)
+
+    return bound(c, told)
+
+
+def bound(value: Column, use) -> Column:
+    """What use makes of the value, which is computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def bare(c: Column) -> Column:
@@ -110,7 +120,7 @@ def pseudocode(c: Column) -> Column:
         group = lambda k: F.when(at(k).startswith("{"), _unbraced(at(k))).otherwise("")
         condition = _escaped(symbols(F.array_join(F.transform(lead, _unbraced), " ")))
         statement = _escaped(strip(symbols(F.array_join(F.transform(args, _unbraced), " "))))
-        after = lambda word, mark="": F.when(statement != "", F.concat(strong(word + mark), F.lit(" "), statement)).otherwise(strong(word + mark))
+        after = lambda word, mark="": bound(statement, lambda x: F.when(x != "", F.concat(strong(word + mark), F.lit(" "), x)).otherwise(strong(word + mark)))
         head = lambda word: F.concat(strong(word), F.lit(" "), _escaped(group(0)), F.lit("("), _escaped(group(1)), F.lit("):"))
         asked = lambda word: F.concat(strong(word), F.lit(" "), condition, F.lit(":"))
         return (
@@ -121,7 +131,7 @@ def pseudocode(c: Column) -> Column:
             .when(command == "\\For", asked("For"))
             .when(command == "\\While", asked("While"))
             .when(command == "\\Else", F.concat(strong("Else"), F.lit(":")))
-            .when((command == "\\State") & (statement != ""), statement)
+            .when(command == "\\State", bound(statement, lambda x: F.when(x != "", x)))
             .when(command == "\\Return", after("Return"))
             .when(command == "\\Require", after("Require", ":"))
             .when(command == "\\Ensure", after("Ensure", ":"))
@@ -147,7 +157,7 @@ def pseudocode(c: Column) -> Column:
         return F.struct((level + x["command"].isin(*OPENS, *TURNS).cast("int")).alias("level"), F.concat(state["lines"], line).alias("lines"))
 
     out = F.aggregate(lines, F.struct(F.lit(0).alias("level"), none.alias("lines")), indent, lambda state: state["lines"])
-    return F.when(F.size(out) > 0, F.concat(F.lit('<pre class="algorithm">\n'), F.array_join(out, "\n"), F.lit("\n</pre>")))
+    return bound(out, lambda x: F.when(F.size(x) > 0, F.concat(F.lit('<pre class="algorithm">\n'), F.array_join(x, "\n"), F.lit("\n</pre>"))))
 
 
 def is_tikz(c: Column) -> Column:

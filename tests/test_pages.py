@@ -1,5 +1,7 @@
 """Markdown, words and regions on hard cases."""
 
+from conftest import SF
+
 from plumbline.sources import markdown, ocr
 
 PAGE = """12 SMITH AND JONES
@@ -81,3 +83,10 @@ def test_regions_name_blocks(spark):
     assert [(r.id, r.rows, r.columns, r.header_rows) for r in got["tables"].collect()] == [("ocr_tbl_0", 2, 2, 0)]
     assert sorted((r.id, r.alt) for r in got["images"].collect()) == [("ocr_img_0", "152 MAYER"), ("ocr_img_1", "Said")]
     assert {(r.r, r.c): r.text for r in got["cells"].collect()} == {(0, 0): "a", (1, 0): "b", (1, 1): "c"}
+
+
+def test_pseudocode_is_worked_out_once(spark):
+    from plumbline.queries import QUERIES
+
+    plan = QUERIES["b33_pseudocode_format"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
