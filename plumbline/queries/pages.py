@@ -75,7 +75,7 @@ def words(spark, sf) -> DataFrame:
     """Words of documents on pages of 180, six in a line and three lines in a block, with confidence and boxes."""
     i, j = F.col("i"), F.col("i") % 180
     line = F.floor(j / 6)
-    found = s.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "text"))
+    found = s.dealt_documents(spark, sf).select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "text"))
     return found.select("doc_id", F.floor(i / 180).alias("page"), "i", "text", ((F.col("doc_id") + i) * 13 % 100).alias("conf"), (j % 6 * 50).alias("x"), (line * 20 + F.floor(line / 3) * 40 + i % 3).alias("y"), F.least(F.length("text"), F.lit(45)).alias("w"), F.lit(10).alias("h"))
 
 

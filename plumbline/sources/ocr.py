@@ -29,12 +29,13 @@ def lines_and_blocks(words: DataFrame, gap: float = 1.5) -> DataFrame:
     page = Window.partitionBy("doc_id", "page").orderBy("y", "x", "i")
     before, so_far = page.rowsBetween(Window.unboundedPreceding, -1), page.rowsBetween(Window.unboundedPreceding, 0)
     fresh = F.col("y") >= F.coalesce(F.max(F.col("y") + F.col("h") / 2).over(before), F.col("y"))
-    out = words.withColumn("line", F.sum(fresh.cast("int")).over(so_far))
-    rows = out.groupBy("doc_id", "page", "line").agg(F.min("y").alias("top"), F.max(F.col("y") + F.col("h")).alias("bottom"))
-    own = Window.partitionBy("doc_id", "page").orderBy("line")
-    apart = F.col("top") - F.lag("bottom").over(own) > gap * (F.col("bottom") - F.col("top"))
-    rows = rows.withColumn("block", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.join(rows.select("doc_id", "page", "line", "block"), ["doc_id", "page", "line"])
+    out = words.withColumn("line", F.sum(fresh.cast("int")).over(so_far)).withColumn("fresh", fresh).where("line is not null")
+    own = Window.partitionBy("doc_id", "page", "line")
+    out = out.withColumn("top", F.min("y").over(own)).withColumn("bottom", F.max(F.col("y") + F.col("h")).over(own))
+    # the word before a line's first one belongs to the line before
+    apart = F.col("fresh") & (F.col("top") - F.lag("bottom").over(page) > gap * (F.col("bottom") - F.col("top")))
+    out = out.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
+    return out.withColumn("block", F.sum("apart").over(so_far)).drop("fresh", "top", "bottom", "apart")
 
 
 def blocks(words: DataFrame, order: tuple[str, ...] = ("i",)) -> DataFrame:

@@ -1,5 +1,6 @@
 """Markdown, words and regions on hard cases."""
 
+import pytest
 from conftest import SF
 
 from plumbline.sources import markdown, ocr
@@ -90,3 +91,21 @@ def test_pseudocode_is_worked_out_once(spark):
 
     plan = QUERIES["b33_pseudocode_format"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+@pytest.mark.parametrize("name", ["a10_blocks", "a10_lines_and_blocks", "a10_words_to_blocks"])
+def test_words_are_not_shuffled(spark, name):
+    """Texts are dealt out once, before they become words."""
+    from plumbline.queries import QUERIES
+
+    assert QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_documents_without_a_page_go_before_their_lines_are_made(spark):
+    from plumbline.sources import tables as s
+
+    named = spark.range(5).toDF("doc_id")
+    for made in (s.alts(spark, SF, named), s.outlined(spark, SF, named), s.document_tables(spark, SF, named)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert -1 < plan.index("Generate") < plan.index("Join LeftSemi")
+        assert {r.doc_id for r in made.select("doc_id").distinct().collect()} <= set(range(5))
