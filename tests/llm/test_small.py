@@ -766,3 +766,12 @@ def test_pairs_found_around_a_quoted_passage(spark, tmp_path, carriers):
         classes.setdefault(r.doc_id, set()).add(r.class_id)
     assert sum(bool(classes.get(2 * k, set()) & classes.get(2 * k + 1, set())) for k in range(100)) >= 99
     assert max(classes) < 1000
+
+
+def test_tables_between_lines_and_links_go_once_used(spark):
+    """Letters and the links of both rounds are all that is left on the disk."""
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join([*words[k % 7 : k % 7 + 20], f"x{k}"])) for k in range(30)]
+    scratch = Scratch(spark, "left")
+    assert line_dedup.near_lines(scratch, spark.createDataFrame(rows, "_id long, _form string")).count()
+    assert len([x for x in os.listdir(scratch.root.removeprefix("file:")) if x.isdigit()]) == 3
