@@ -775,3 +775,59 @@ def test_tables_between_lines_and_links_go_once_used(spark):
     scratch = Scratch(spark, "left")
     assert line_dedup.near_lines(scratch, spark.createDataFrame(rows, "_id long, _form string")).count()
     assert len([x for x in os.listdir(scratch.root.removeprefix("file:")) if x.isdigit()]) == 3
+
+
+def test_pairs_found_among_carriers_of_each_half(spark, tmp_path):
+    """Passages of 50 words with one changed, inserted or left out in the middle, and other texts that quote the words before it or after it in contexts of their own; the last pair has more of these than one part holds."""
+    rng = random.Random(5)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(9):
+        passage = some(50)
+        edited = passage[:25] + [["changed"], ["changed", passage[25]], []][k % 3] + passage[26:] + some(1)
+        rows += [(2 * k + j, " ".join(some(60) + w + some(60))) for j, w in enumerate((passage, edited))]
+        for half in (passage[:25], passage[26 if k % 3 == 0 else 25 :]):
+            rows += [(1000 * (k + 1) + len(rows), " ".join(some(60) + half + some(60))) for _ in range(200 if k == 8 else 20)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "t"))
+    found = {r.doc_id: (r.partner, r.class_id) for r in substring_dedup.find_passages(spark.read.parquet(str(tmp_path / "t"))).collect()}
+    assert found == {2 * k + j: (2 * k + 1 - j, 2 * k) for k in range(9) for j in (0, 1)}
+
+
+def test_groups_join_all_alike_windows():
+    """Of random groups, among them repeats and texts' ends, the links kept join just what the alike pairs join, measured run by run."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(1, 60, substring_dedup.AROUND)
+    cuts = []
+    for k in range(60):
+        x = base.copy() if k % 2 else rng.integers(1, 2**32, substring_dedup.AROUND)
+        x[30:55] = base[30:55]
+        for p in rng.integers(0, substring_dedup.AROUND, k % 9):
+            x[p] = rng.integers(1, 2**32)
+        x[: k % 30 if k % 5 == 0 else 0] = 0
+        cuts.append(x)
+    n = len(cuts)
+    c = {"id": np.arange(n), "row": np.arange(n), "at": np.full(n, 100), "lo": np.zeros(n, np.int64), "hi": np.full(n, 300), "cut": np.array(cuts, np.uint32)}
+    c["earlier"], c["sizes"] = substring_dedup._sets(c["cut"])
+    a, b = substring_dedup._pairs_within(np.array([0]), np.array([n]))
+    pairs = list(zip(a.tolist(), b.tolist(), strict=True))
+    assert sorted(pairs) == list(itertools.combinations(range(n), 2))
+
+    def alike(x, y):
+        e = np.flatnonzero((x != y) | (x == 0))
+        on, back = min(e[e >= 35], default=81) - 35, 34 - max(e[e < 35], default=-1)
+        if on + back < 21:
+            return False
+        runs = [(set(x[s : s + 46].tolist()), set(y[s : s + 46].tolist())) for s in range(36)]
+        return any(0 not in p | q and len(p & q) >= 0.8 * len(p | q) for p, q in runs)
+
+    truth = {(i, j) for i, j in pairs if alike(c["cut"][i], c["cut"][j])}
+    links = substring_dedup._held_against(c, a, b)
+    kept = {tuple(sorted(x)) for x in zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True)}
+
+    def joined(edges):
+        label = list(range(n))
+        for i, j in edges:
+            label = [label[i] if v == label[j] else v for v in label]
+        return {frozenset(k for k in range(n) if label[k] == v) for v in label}
+
+    assert 10 < len(truth) and kept <= truth and joined(kept) == joined(truth)
