@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import latex
+from plumbline.operators.spread import dealt_out
+from plumbline.queries.extras import written
 from plumbline.queries.scalar import told
 from plumbline.registry import query
 from plumbline.sources import html
@@ -135,4 +137,5 @@ def _escaped(c: str) -> str:
   SELECT page_id, '<!DOCTYPE html><html lang="' || regexp_extract(html, '<html lang="([^"]*)"', 1) || '"><head><title>' || {_escaped(q.STRIP.format(_plain("regexp_extract(html, '<title>([^<]*)</title>', 1)")))} || '</title></head><body>' || coalesce(h, '') || '</body></html>' AS html FROM rich LEFT JOIN bodies USING (page_id)""")
 def a23_model(spark, sf):
     pages = s.rich_pages(spark, sf)
-    return html.render(pages, html.nested(html.tokens(pages)))
+    scan = written(html.nested(html.tokens(pages)), "parquet")
+    return html.render(pages, dealt_out(scan, "page_id", of=pages, size=F.length("html"), most=html.HTML_PER_TASK))

@@ -140,3 +140,11 @@ def test_tasks_grow_in_number_with_the_pages(spark, monkeypatch):
     pages = spark.range(300).selectExpr("id page_id", "repeat('<p>some text</p>', 10) html")
     parts = html.nested(html.tokens(pages)).groupBy(F.spark_partition_id()).agg(F.countDistinct("page_id").alias("n")).collect()
     assert len(parts) > 30 and max(p.n for p in parts) < 30
+
+
+def test_pages_are_cut_once_to_be_written_again(spark):
+    """The scan is a table that all parts of the page read, not a plan that each of them runs."""
+    from plumbline.queries import QUERIES
+
+    plan = QUERIES["a23_html_of_model"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "<!--" not in plan  # of the pattern that cuts
