@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,33 +37,52 @@ def hourly_counts(spark: SparkSession, path: str, out: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows").groupBy("user_id", "hour").agg(F.max_by("n", "batch").alias("n"))
 
 
+#: Bits of a user_id that users whose events are decided together may differ in: 16 neighbours. A call of Python costs milliseconds, however few events it has.
+TOGETHER = 4
+
+
 def limited(stream: DataFrame, most: int, window: float, delay: str = "1 hour") -> DataFrame:
     """user_id, event_id, allowed, retry of a stream (user_id, event_id, t as seconds), decided in the order of time and event_id whatever order they come in.
 
-    Events wait in their user's state until the watermark, delay behind the latest event of all, has passed them: so batches and frames may be out of order by that much, later ones are dropped. The times still in the window stay
-    with them; a user whose window has emptied leaves the state. Rows without an event_id only move the watermark.
+    Events wait in the state until the watermark, delay behind the latest event of all, has passed them: so batches and frames may be out of order by that much, later ones are dropped. The times still in the window stay
+    with them; a user whose window has emptied leaves the state. Neighbouring users share a state, null ones have their own. Rows without an event_id only move the watermark.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept, waiting = (list(state.get[0]), list(zip(state.get[1], state.get[2], strict=True))) if state.exists else ([], [])
+        kept: dict[int, list[float]] = {}
+        waiting: list[tuple[int, float, int]] = []
+        if state.exists:
+            owners, times, *rest = state.get
+            for u, t in zip(owners, times, strict=True):
+                kept.setdefault(u, []).append(t)
+            waiting = list(zip(*rest, strict=True))
         for frame in frames:
-            waiting += [(t, int(e)) for t, e in zip(frame.t.tolist(), frame.event_id.tolist(), strict=True) if not pd.isna(e)]
+            frame = frame[frame.event_id.notna()]
+            users = frame.user_id.tolist() if key[0] is not None else [0] * len(frame)
+            waiting += zip(users, frame.t.tolist(), map(int, frame.event_id.tolist()), strict=True)
         until = state.getCurrentWatermarkMs() / 1000
-        ready, waiting = sorted(x for x in waiting if x[0] <= until), [x for x in waiting if x[0] > until]
-        found = allowed([*kept, *(t for t, _ in ready)], most, window)[len(kept) :]
-        kept = [*kept, *(t for (t, _), (ok, _) in zip(ready, found, strict=True) if ok)]
-        kept = [t for t in kept if t > until - window]
+        ready, waiting = sorted(x for x in waiting if x[1] <= until), [x for x in waiting if x[1] > until]
+        found: list[tuple[bool, int]] = []
+        for u, own in groupby(ready, lambda x: x[0]):
+            times, past = [x[1] for x in own], kept.get(u, [])
+            new = allowed([*past, *times], most, window)[len(past) :]
+            found += new
+            kept[u] = [*past, *(t for t, (ok, _) in zip(times, new, strict=True) if ok)]
+        held = [(u, t) for u, times in kept.items() for t in times if t > until - window]
         if ready:
-            yield pd.DataFrame({"user_id": key[0], "event_id": [e for _, e in ready], "allowed": [x[0] for x in found], "retry": [x[1] for x in found]})
-        if kept or waiting:
-            state.update((kept, [t for t, _ in waiting], [e for _, e in waiting]))
-            state.setTimeoutTimestamp(int(1000 * max(min([t for t, _ in waiting], default=kept[0] + window if kept else until), until)) + 1)
+            users = [x[0] for x in ready] if key[0] is not None else [None] * len(ready)
+            yield pd.DataFrame({"user_id": users, "event_id": [x[2] for x in ready], "allowed": [x[0] for x in found], "retry": [x[1] for x in found]})
+        if held or waiting:
+            state.update(([u for u, _ in held], [t for _, t in held], [x[0] for x in waiting], [x[1] for x in waiting], [x[2] for x in waiting]))
+            first = min(x[1] for x in waiting) if waiting else min(t for _, t in held) + window
+            state.setTimeoutTimestamp(int(1000 * max(first, until)) + 1)
         elif state.exists:
             state.remove()
 
     ship(stream.sparkSession)
-    timed = stream.withColumn("at", F.col("t").cast("timestamp")).withWatermark("at", delay)
-    return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, allowed boolean, retry long", "kept array<double>, times array<double>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = stream.withColumn("at", F.col("t").cast("timestamp")).withWatermark("at", delay).withColumn("together", F.shiftright("user_id", TOGETHER))
+    kinds = "owners array<long>, kept array<double>, users array<long>, times array<double>, ids array<long>"
+    return timed.groupBy("together").applyInPandasWithState(step, "user_id long, event_id long, allowed boolean, retry long", kinds, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def limited_in_parts(events: DataFrame, most: int, window: float, out: str, parts: int = 4) -> DataFrame:

@@ -46,6 +46,23 @@ def test_limiter_stream_takes_events_out_of_order_and_goes_on_after_a_restart(sp
     assert limits.limited_in_parts(frame.limit(0), 3, 3600.0, str(tmp_path / "e")).count() == 0
 
 
+def test_neighbouring_users_share_a_state_of_the_limiter(spark, tmp_path):
+    r = random.Random(7)
+    users = [None, -3, -2, *range(61)]
+    events = [(r.choice(users), k, 1_700_000_000.0 + r.randrange(90_000)) for k in range(1500)]
+    spark.createDataFrame(events, "user_id long, event_id long, t double").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("user_id long, event_id long, t double").parquet(str(tmp_path / "in"))
+    run = limits.limited(stream, 3, 36_000.0).writeStream.format("noop").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    run.awaitTermination()
+    assert 0 < run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6
+    rows = limits.limited_in_parts(spark.read.parquet(str(tmp_path / "in")), 3, 36_000.0, str(tmp_path / "s")).collect()
+    want = {}
+    for user in users:
+        own = sorted((t, e) for u, e, t in events if u == user)
+        want |= {e: (user, *x) for (_, e), x in zip(own, allowed([t for t, _ in own], 3, 36_000.0), strict=True)}
+    assert {x.event_id: (x.user_id, x.allowed, x.retry) for x in rows} == want and len(rows) == len(want)
+
+
 def test_facts_of_a_tree(spark):
     tree = [("d", 0, None, "Document"), ("d", 1, 0, "Table"), ("d", 2, 1, "TR"), ("d", 3, 2, "TH"), ("d", 4, 2, "TD"), ("d", 5, 4, "Table"), ("d", 6, 5, "TD"), ("d", 7, 0, "Figure"), ("d", 8, 0, "Odd"), ("d", 9, 77, "P"), ("d", 10, 11, "P"), ("d", 11, 10, "P"), ("e", 20, None, "H2")]
     nodes = spark.createDataFrame([(*x, "seen" if x[1] == 7 else None, x[1] == 7) for x in tree], "doc_id string, id int, parent int, tag string, alt string, actual_text boolean")
