@@ -59,17 +59,17 @@ def one_use(pairs: DataFrame, written: Written) -> DataFrame:
     """grp, seeker, target, score: in order of seeker each takes the target of highest score (the first of equals) that is free.
 
     Propose and accept: every seeker proposes to its best target, a target takes the first of those that propose, and the others strike it off. Since all targets prefer alike, what comes out when nobody is
-    turned down is what the sequence gives. A round decides all seekers whose turn depends on nobody still moving; the number of rounds is the longest chain of such dependences.
+    turned down is what the sequence gives. Rows meet by shuffles, none are sent to the driver to be broadcast. A round decides all seekers whose turn depends on nobody still moving; the number of rounds is the longest chain of such dependences.
     """
     left = written(pairs.select("grp", "seeker", "target", "score"))
     while True:
         best = left.groupBy("grp", "seeker").agg(F.min(F.struct((-F.col("score")).alias("minus"), "target")).alias("x")).select("grp", "seeker", "x.target", (-F.col("x.minus")).alias("score"))
         asked = written(best)
         first = asked.groupBy("grp", "target").agg(F.min("seeker").alias("taker"))
-        turned = written(asked.join(first, ["grp", "target"]).where("seeker <> taker").select("grp", "seeker", "target"))
+        turned = written(asked.join(first.hint("merge"), ["grp", "target"]).where("seeker <> taker").select("grp", "seeker", "target"))
         if not turned.limit(1).count():
             return asked
-        left = written(left.join(turned, ["grp", "seeker", "target"], "left_anti").select("grp", "seeker", "target", "score"))
+        left = written(left.join(turned.hint("merge"), ["grp", "seeker", "target"], "left_anti").select("grp", "seeker", "target", "score"))
 
 
 def heading_pairs(paragraphs: DataFrame, tags: DataFrame, key: list[str], least: float = 0.1) -> DataFrame:
@@ -78,7 +78,7 @@ def heading_pairs(paragraphs: DataFrame, tags: DataFrame, key: list[str], least:
     1 if one text holds the other, else 0.8 times the share of common words in the larger; a tag without a text scores half the paragraph's own score as a heading, if that is 0.5 or more.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != ""))
-    both = paragraphs.withColumn("text", F.trim("text")).where("text <> ''").join(tags.withColumn("tag_text", F.trim("tag_text")), key)
+    both = paragraphs.withColumn("text", F.trim("text")).where("text <> ''").join(tags.withColumn("tag_text", F.trim("tag_text")).hint("merge"), key)
     a, b = words("text"), words("tag_text")
     overlap = F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b)) * 0.8
     score = F.when(F.col("tag_text") == "", F.when(F.col("fake_score") >= 0.5, F.col("fake_score") * 0.5).otherwise(0.0)).when(F.contains("text", F.col("tag_text")) | F.contains("tag_text", F.col("text")), 1.0).otherwise(overlap)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import matching
 from plumbline.queries.extras import written
@@ -64,3 +65,19 @@ def test_scores_of_headings(spark):
     p = spark.createDataFrame([("d", 0, " Intro ", 0.0), ("d", 1, "a b c d", 0.4), ("d", 2, "own", 0.9), ("d", 3, "", 1.0)], "doc_id string, pos int, text string, fake_score double")
     t = spark.createDataFrame([("d", 0, "Intro"), ("d", 1, "b c x"), ("d", 2, "")], "doc_id string, tag int, tag_text string")
     assert {(r.tag, r.pos): round(r.score, 6) for r in matching.heading_pairs(p, t, ["doc_id"]).collect()} == {(0, 0): 1.0, (1, 1): 0.4, (2, 2): 0.45}
+
+
+def test_no_side_of_a_match_is_broadcast(spark, tmp_path):
+    """A broadcast goes through the driver, and these tables grow with the input."""
+    plans = []
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        df.write.parquet(str(tmp_path / str(len(plans))))
+        return spark.read.parquet(str(tmp_path / str(len(plans))))
+
+    paragraphs = spark.createDataFrame([(1, k, f"word {k} alike", 0.7) for k in range(6)], "page int, pos int, text string, fake_score double")
+    tags = spark.createDataFrame([(1, k, "alike") for k in range(3)], "page int, tag int, tag_text string")
+    pairs = matching.heading_pairs(paragraphs, tags, ["page"]).select(F.col("page").alias("grp"), F.col("tag").alias("seeker"), F.col("pos").alias("target"), "score")
+    assert matching.one_use(pairs, written).count() == 3
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
