@@ -13,8 +13,6 @@ Edge cases: null and empty pages have no rows; an open fence runs to the page's
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +24,7 @@ UNDERLINE = r"^ {0,3}(=+|-+)[ \t]*$"
 RULE = r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$"
 QUOTE = r"^ {0,3}>[ \t]?(.*)$"
 ITEM = r"^ {0,3}(?:[-*+]|\d{1,9}[.)])[ \t]+(.*)$"
+MARKED = r"^ {0,3}[#=\-*_>+0-9]"  # lines of any kind above
 DELIMITER = r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$"
 LINK = r'(?<!!)\[([^\[\]]*)\]\([ \t]*<?([^)<>\s]*)>?(?:[ \t]+"[^"]*")?[ \t]*\)'
 TABLE_LINK = r"^\s*\[[^\]]*\]\((tbl-\d+\.md)\)\s*$"
@@ -40,10 +39,11 @@ def _without_marks(c: Column) -> Column:
 
 
 def inline(c: Column) -> Column:
-    """What an inline text says: one blank for a line's end, nothing for a hard break, an image or code."""
+    """What an inline text says: one blank for a line's end, nothing for a hard break, an image or code. Texts without a mark are looked at once."""
+    plain = c
     c = F.regexp_replace(c, r"(?: {2,}|\\)\n", "")
     c = F.regexp_replace(F.regexp_replace(c, r"[ \t]*\n", " "), r"!\[[^\]]*\]\([^)]*\)|(`+)[^`]+\1", "")
-    return _without_marks(F.regexp_replace(c, LINK, "$1"))
+    return F.when(plain.rlike(r"[\n*_`\[\\]"), _without_marks(F.regexp_replace(c, LINK, "$1"))).otherwise(plain)
 
 
 def _cells(line: Column) -> Column:
@@ -76,17 +76,17 @@ def blocks(found: DataFrame) -> DataFrame:
     out = found.withColumn("fenced", line.rlike(FENCE) | (F.coalesce(fences.over(before), F.lit(0)) % 2 == 1))
     blank = strip(line) == ""
     kind = (
-        F.when(F.col("fenced"), "fence").when(blank, "blank").when(line.rlike(HEADING), "heading").when(line.rlike(r"^ {0,3}=+[ \t]*$"), "under").when(line.rlike(r"^ {0,3}-+[ \t]*$"), "under")
+        F.when(F.col("fenced"), "fence").when(blank, "blank").when(~line.rlike(MARKED), "text").when(line.rlike(HEADING), "heading").when(line.rlike(r"^ {0,3}=+[ \t]*$"), "under").when(line.rlike(r"^ {0,3}-+[ \t]*$"), "under")
         .when(line.rlike(RULE), "rule").when(line.rlike(QUOTE), "quote").when(line.rlike(ITEM), "item").otherwise("text")
     )
-    out = out.withColumn("own", kind).withColumn("cells", _cells(line))
+    out = out.withColumn("own", kind)
     after, next_kind = F.lead("line").over(page), F.lead("own").over(page)
-    wide = F.size(_cells(after)) == F.size("cells")
+    wide = F.size(_cells(after)) == F.size(_cells(line))
     head = (F.col("own") == "text") & line.contains("|") & F.coalesce(after.rlike(DELIMITER) & wide & (next_kind != "fence"), F.lit(False))
     out = out.withColumn("head", head)
     at = lambda c: F.max(F.when(c, F.col("pos"))).over(so_far)
     begins, breaks = at(F.col("head")), at(F.col("own").isin("fence", "blank", "heading", "rule", "quote", "item"))
-    out = out.withColumn("table", F.when(begins > F.coalesce(breaks, F.lit(0)), begins)).withColumn("width", F.last(F.when(F.col("head"), F.size("cells")), ignorenulls=True).over(so_far))
+    out = out.withColumn("table", F.when(begins > F.coalesce(breaks, F.lit(0)), begins)).withColumn("width", F.last(F.when(F.col("head"), F.size(_cells(line))), ignorenulls=True).over(so_far))
     # a line of one sort goes on with a paragraph if the line before is part of one
     part = F.col("table").isNull() & F.col("own").isin("text", "quote", "item", "under")
     out = out.withColumn("part", part).withColumn("was", F.coalesce(F.lag("part").over(page), F.lit(False))).withColumn("was_own", F.lag("own").over(page))
@@ -98,7 +98,7 @@ def blocks(found: DataFrame) -> DataFrame:
     out = out.withColumn("first", F.col("part") & first).where(~(lone & line.contains("-") & (F.length(strip(line)) > 2)))
     out = out.withColumn("block", F.when(F.col("own") == "heading", F.col("pos")).when(F.col("table").isNotNull(), F.col("table")).when(F.col("part"), F.max(F.when(F.col("first"), F.col("pos"))).over(so_far)))
     role = F.when(F.col("own") == "heading", "heading").when(F.col("head"), "head").when(F.col("table").isNotNull() & (F.col("pos") == F.col("table") + 1), "delimiter").when(F.col("table").isNotNull(), "row").when(F.col("part"), "text")
-    return out.withColumn("kind", role).where("kind IS NOT NULL AND kind <> 'delimiter'").select("doc_id", "page", "pos", "kind", "block", "level", "content", "cells", "width", (F.col("own") == "under").alias("under"), "was")
+    return out.withColumn("kind", role).where("kind IS NOT NULL AND kind <> 'delimiter'").select("doc_id", "page", "pos", "kind", "block", "level", "content", F.when(F.col("table").isNotNull(), _cells(line)).alias("cells"), "width", (F.col("own") == "under").alias("under"), "was")
 
 
 def _numbered(df: DataFrame, prefix: str, *order: str) -> DataFrame:
@@ -106,14 +106,30 @@ def _numbered(df: DataFrame, prefix: str, *order: str) -> DataFrame:
     return df.withColumn("id", F.format_string(f"ocr_{prefix}_%d", n))
 
 
+def _texts(said: DataFrame, *block: str) -> DataFrame:
+    """block..., raw, heading_level, text of the blocks, those without a text aside unless they are headings or, if a column of that name says so, tables."""
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("under") | ~F.col("was"), F.struct("pos", "content")))), lambda x: x["content"]), "\n")
+    marked = F.max(F.when(F.col("under") & F.col("was"), F.when(F.trim("content").startswith("="), 1).otherwise(2)))
+    g = said.groupBy(*block).agg(whole.alias("raw"), F.coalesce(F.max("level"), marked).alias("heading_level"))
+    stays = F.col("heading_level").isNotNull() | (strip(F.col("text")) != "")
+    return g.withColumn("text", inline(F.rtrim("raw"))).where((F.col("table") | stays) if "table" in block else stays)
+
+
+def _order(scan: DataFrame) -> DataFrame:
+    """doc_id, page, seq, kind, id: paragraphs and tables as they come, found in one pass over the lines."""
+    table = F.col("kind").isin("head", "row")
+    found = scan.select("doc_id", "page", "block", table.alias("table"), "pos", F.when(~table, F.col("content")).alias("content"), "level", "under", "was")
+    both = _texts(found, "doc_id", "page", "block", "table").select("doc_id", "page", "block", "table")
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "block")) - 1
+    nth = F.row_number().over(Window.partitionBy("doc_id", "table").orderBy("page", "block")) - 1
+    name = F.when(F.col("table"), F.format_string("ocr_tbl_%d", nth)).otherwise(F.format_string("ocr_p_%d", nth))
+    return both.select("doc_id", "page", seq.alias("seq"), F.when(F.col("table"), "table").otherwise("paragraph").alias("kind"), name.alias("id"))
+
+
 def model(pages: DataFrame, tables: DataFrame | None = None) -> dict[str, DataFrame]:
     """paragraphs, tables, cells, links, order of pages (doc_id, page, markdown); tables (doc_id, page, name, content) are those that the text refers to."""
     scan = blocks(lines(pages, tables))
-    said = scan.where("kind IN ('heading', 'text')")
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("under") | ~F.col("was"), F.struct("pos", "content")))), lambda x: x["content"]), "\n")
-    marked = F.max(F.when(F.col("under") & F.col("was"), F.when(F.trim("content").startswith("="), 1).otherwise(2)))
-    g = said.groupBy("doc_id", "page", "block").agg(whole.alias("raw"), F.coalesce(F.max("level"), marked).alias("heading_level"))
-    texts = g.withColumn("text", inline(F.rtrim("raw"))).where((strip(F.col("text")) != "") | F.col("heading_level").isNotNull())
+    texts = _texts(scan.where("kind IN ('heading', 'text')"), "doc_id", "page", "block")
     texts = _numbered(texts, "p", "block")
 
     bare = F.regexp_replace(F.regexp_replace("raw", r"[ \t]*\n", " "), r"!\[[^\]]*\]\([^)]*\)|(`+)[^`]+\1", "")
@@ -127,6 +143,4 @@ def model(pages: DataFrame, tables: DataFrame | None = None) -> dict[str, DataFr
     grids = rows.groupBy("doc_id", "page", "block").agg(F.count("*").alias("rows"), F.max("width").alias("columns"), F.lit(1).alias("header_rows"))
     grids = _numbered(grids, "tbl", "block")
     named = cells.join(grids.select("doc_id", "page", "block", "id"), ["doc_id", "page", "block"])
-    both = reduce(DataFrame.union, [d.select("doc_id", "page", "block", F.lit(k).alias("kind"), "id") for d, k in ((texts, "paragraph"), (grids, "table"))])
-    order = both.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "block")) - 1)
-    return {"paragraphs": texts.drop("raw"), "tables": grids, "cells": named, "links": links, "order": order.select("doc_id", "page", "seq", "kind", "id")}
+    return {"paragraphs": texts.drop("raw"), "tables": grids, "cells": named, "links": links, "order": _order(scan)}

@@ -101,6 +101,13 @@ def test_words_are_not_shuffled(spark, name):
     assert QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
+def test_order_of_markdown_takes_one_pass(spark):
+    """Pages and the tables they name are made once each, not for paragraphs and tables apart."""
+    from plumbline.queries import QUERIES
+
+    assert QUERIES["a06_markdown_order"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+
+
 def test_documents_without_a_page_go_before_their_lines_are_made(spark):
     from plumbline.sources import tables as s
 
