@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 from conftest import SF
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import bpe, kd_shards, language_id, line_dedup, media_jpeg, mixing, quality_rules, simhash_neardup, substring_dedup, token_files
@@ -768,6 +769,38 @@ def test_pairs_found_around_a_quoted_passage(spark, tmp_path, carriers):
     assert max(classes) < 1000
 
 
+def test_lines_deal_out_their_rarest_runs_alone(spark, monkeypatch):
+    """Two fifths of a line's words and two more, and whatever the order of the runs, lines of few words, repeats among them, are joined as all pairs join them."""
+    rng, lines = random.Random(9), []
+    for k in range(240):
+        n = rng.randrange(4, 24)
+        base = [rng.choice(["|", "a", "b", "c", *(f"w{rng.randrange(30)}" for _ in range(3))]) for _ in range(n)]
+        other = list(base)
+        for _ in range(rng.randrange(n // 5 + 2)):
+            at = rng.randrange(len(other))
+            other[at : at + rng.randrange(2)] = [[], ["|"], [f"v{k}"]][rng.randrange(3)]
+        lines += [base, other]
+    forms = [list(x) for x in dict.fromkeys(map(tuple, lines)) if len(x) > 3]
+    table = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(forms)], "_id long, _form string")
+    made = line_dedup.blocks(table, line_dedup.rarities(table))
+    assert all(r["count"] <= 2 * len(forms[r._id]) / 5 + 2 for r in made.groupBy("_id").count().collect())
+    truth = edit_groups(forms)
+
+    def groups():
+        label = list(range(len(forms)))
+        for r in line_dedup.near_lines(Scratch(spark, "order"), table).collect():
+            x, y = sorted((label[r.a], label[r.b]))
+            label = [x if v == y else v for v in label]
+        return label
+
+    assert len(set(truth)) < len(forms) and groups() == truth
+    usual = line_dedup.rarities
+    monkeypatch.setattr(line_dedup, "rarities", lambda x: F.transform(usual(x), lambda v: F.lit(20 << 56) - v))
+    monkeypatch.setattr(line_dedup, "BUCKETS", 64)
+    monkeypatch.setattr(line_dedup, "PART", 3)
+    assert groups() == truth
+
+
 def test_tables_between_lines_and_links_go_once_used(spark):
     """Letters and the links of both rounds are all that is left on the disk."""
     words = [f"w{k}" for k in range(40)]
