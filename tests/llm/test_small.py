@@ -795,7 +795,8 @@ def test_lines_deal_out_their_rarest_runs_alone(spark, monkeypatch):
 
     assert len(set(truth)) < len(forms) and groups() == truth
     usual = line_dedup.rarities
-    monkeypatch.setattr(line_dedup, "rarities", lambda x: F.transform(usual(x), lambda v: F.lit(20 << 56) - v))
+    monkeypatch.setattr(line_dedup, "rarities", lambda x: tuple(F.transform(c, lambda v: F.lit(20 << 56) - v % F.lit(64 << 56)) for c in usual(x)))
+    monkeypatch.setattr(line_dedup, "PAIRS", 500)
     monkeypatch.setattr(line_dedup, "BUCKETS", 64)
     monkeypatch.setattr(line_dedup, "PART", 3)
     assert groups() == truth
